@@ -228,29 +228,32 @@ def category_screen(df: DataFrame, group: str, period: str,
     dimension columns. Steps, all in one plan:
 
     1. counts per (group, period, every dimension value) -- the only pass
-       over the events, combined map-side;
-    2. totals per (group, period) and the ``top`` groups by total;
-    3. per (group, period, dimension, category) counts of the top groups;
-    4. zero-filled moments of (category count, total) over the periods of
-       the group, without building the grid;
-    5. ``directional_screen``.
+       over the events, combined map-side; these rows number (groups x
+       periods x value combinations), independent of the event count, and
+       every later step reads this one shuffle output (reused exchange);
+    2. totals per (group, period), per-(group, period, dimension, category)
+       counts, zero-filled moments of (category count, total) over the
+       periods of the group (no grid is built) and the per-group test;
+    3. the ``top`` groups by total (from the same totals) restrict the
+       small result at the end, so the fact scan is not repeated for the
+       top-k selection.
 
     Returns ``group, dimension, category, n, k, slope, t_stat, p_value, corr``.
     """
     from covary.operators.counts import combination_counts, unpivot_dimensions
     from covary.operators.ranking import keep_top, top_k
 
-    combo = combination_counts(df, group, period, list(dims), "__n")
-    totals = combo.groupBy(group, period).agg(F.sum("__n").alias("__y"))
-    if top is not None:
-        ranked = top_k(totals.groupBy(group).agg(F.sum("__y").alias("__total")),
-                       [group], "__total", top)
-        combo = keep_top(combo, ranked, [group])
-        totals = keep_top(totals, ranked, [group])
-    cells = unpivot_dimensions(combo, group, period, list(dims), "__n")
-    mom = zero_filled_moments(totals, cells, [group], period, ["dimension", "category"],
+    g = group
+    dims = list(dims)
+    combo = combination_counts(df, g, period, dims, "__n")
+    totals = combo.groupBy(g, period).agg(F.sum("__n").alias("__y"))
+    cells = unpivot_dimensions(combo, g, period, dims, "__n")
+    mom = zero_filled_moments(totals, cells, [g], period, ["dimension", "category"],
                               dense_value="__y", sparse_value="__n", dense_role="y",
                               center=False)
-    res = directional_screen(mom, [group], max_p)
-    return res.select(group, "dimension", "category", "n", "k", "slope", "t_stat",
+    res = directional_screen(mom, [g], max_p)
+    if top is not None:
+        ranked = top_k(totals.groupBy(g).agg(F.sum("__y").alias("__total")), [g], "__total", top)
+        res = keep_top(res, ranked, [g])
+    return res.select(g, "dimension", "category", "n", "k", "slope", "t_stat",
                       "p_value", "corr")
