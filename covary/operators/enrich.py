@@ -124,13 +124,17 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
         g = 360.0 / nlon
         last = nlon <= 3
         py, px = _cells(F.col("__plat"), F.col("__plon"), g, nlon)
-        offsets = [F.struct((py + dy).alias("__cy"), F.pmod(px + dx, F.lit(nlon)).alias("__cx"))
-                   for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        probe = pending.select("*", F.explode(F.array_distinct(F.array(*offsets))).alias("__cell"))
-        probe = probe.select(point_key, "__plat", "__plon",
-                             F.col("__cell.__cy").alias("__cy"), F.col("__cell.__cx").alias("__cx"))
+        probe = pending.select(point_key, "__plat", "__plon", py.alias("__cy"), px.alias("__cx"))
+        # A point meets a centroid when their cells are neighbours; the relation
+        # is symmetric, so the centroids (the small side) are copied into the 9
+        # cells around their own and the points stay one row each.
         cy, cx = _cells(F.col("__clat"), F.col("__clon"), g, nlon)
-        keyed = cen.select(area_key, "__clat", "__clon", cy.alias("__cy"), cx.alias("__cx"))
+        offsets = [F.struct((cy + dy).alias("__cy"), F.pmod(cx + dx, F.lit(nlon)).alias("__cx"))
+                   for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        keyed = (cen.select(area_key, "__clat", "__clon",
+                            F.explode(F.array_distinct(F.array(*offsets))).alias("__cell"))
+                    .select(area_key, "__clat", "__clon", F.col("__cell.__cy").alias("__cy"),
+                            F.col("__cell.__cx").alias("__cx")))
         cand = probe.join(keyed, ["__cy", "__cx"], "inner")
         dist = haversine_km("__plat", "__plon", "__clat", "__clon")
         best = (cand.groupBy(point_key, "__plat")

@@ -138,11 +138,9 @@ def elastic_net_1d(mom: DataFrame, reg: float = 0.3, mix: float = 0.8) -> DataFr
     with_slope = mom.withColumn("slope", slope)
     b = F.col("slope")
     rss = F.greatest(F.lit(0.0), syy - F.lit(2.0) * b * sxy + b * b * sxx)
-    return (with_slope
-            .withColumn("intercept", F.col("mean_y") - b * F.col("mean_x"))
-            .withColumn("rss", rss)
-            .withColumn("rmse", F.sqrt(F.col("rss") / n))
-            .withColumn("r2", F.when(syy > 0, F.lit(1.0) - F.col("rss") / syy)))
+    fitted = with_slope.withColumns({"intercept": F.col("mean_y") - b * F.col("mean_x"), "rss": rss})
+    return fitted.withColumns({"rmse": F.sqrt(F.col("rss") / n),
+                               "r2": F.when(syy > 0, F.lit(1.0) - F.col("rss") / syy)})
 
 
 def score_linear(df: DataFrame, model: DataFrame, by: Cols | None, x: str,
@@ -174,16 +172,16 @@ def slope_test(fit: DataFrame, n_coeffs: int = 1, alpha: float = 0.05,
     dof = F.col("n") - F.lit(n_coeffs + 1)
     se = safe_sqrt(safe_div(F.col("rss"), dof.cast("double") * (F.col("sxx") + F.lit(float(sxx_damping)))))
     level = float(alpha) / n_coeffs
-    out = (fit.withColumn("dof", dof)
-              .withColumn("std_err", F.when(F.col("dof") >= 1, se))
-              .withColumn("t_stat", safe_div(F.col("slope"), F.col("std_err")))
-              .withColumn("p_value", t_two_sided_p(F.col("t_stat"), F.col("dof")))
-              .withColumn("alpha", F.lit(level)))
+    out = fit.withColumns({"dof": dof, "std_err": F.when(dof >= 1, se)})
+    out = out.withColumn("t_stat", safe_div(F.col("slope"), F.col("std_err")))
+    out = out.withColumns({"p_value": t_two_sided_p(F.col("t_stat"), F.col("dof")),
+                           "alpha": F.lit(level)})
     p = F.col("p_value")
-    return (out.withColumn("significant", F.when(p.isNotNull(), p <= F.lit(level)))
-               .withColumn("verdict", F.when(p.isNull(), F.lit("not testable"))
-                           .when(p > F.lit(level), F.lit("accept null"))
-                           .otherwise(F.lit("reject null"))))
+    return out.withColumns({
+        "significant": F.when(p.isNotNull(), p <= F.lit(level)),
+        "verdict": F.when(p.isNull(), F.lit("not testable"))
+                    .when(p > F.lit(level), F.lit("accept null"))
+                    .otherwise(F.lit("reject null"))})
 
 
 def directional_screen(mom: DataFrame, group: Cols, max_p: float | None = 0.05) -> DataFrame:
@@ -203,17 +201,18 @@ def directional_screen(mom: DataFrame, group: Cols, max_p: float | None = 0.05)
     beta = F.coalesce(safe_div(F.col("sxy"), F.col("sxx")), F.lit(0.0))
     n = F.col("n")
     k = F.count(F.lit(1)).over(Window.partitionBy(*gk)) if gk else F.count(F.lit(1)).over(Window.partitionBy())
-    staged = (mom.withColumn("k", k)
-                 .withColumn("slope", beta)
-                 .withColumn("__sse", F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
-                             / F.greatest(n - 2, F.lit(1)).cast("double"))
-                 .withColumn("__se", F.sqrt(F.col("__sse") / (F.col("sxx") + eps)))
-                 .withColumn("t_stat", F.col("slope") / (F.col("__se") + eps)))
-    cdf = t_cdf(F.col("t_stat"), n - 2)
+    staged = mom.withColumn("slope", beta)
+    sse = (F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
+           / F.greatest(n - 2, F.lit(1)).cast("double"))
+    se = F.sqrt(sse / (F.col("sxx") + eps))
+    staged = staged.withColumn("t_stat", F.col("slope") / (se + eps))
+    # The CDF (a series per row) is computed below the window: the window is a
+    # barrier for filter push-down, so the p filter reads this column instead
+    # of re-evaluating the series.
+    staged = staged.withColumn("__cdf", t_cdf(F.col("t_stat"), n - 2)).withColumn("k", k)
+    cdf = F.col("__cdf")
     p = F.when(F.col("slope") < 0, cdf * F.col("k")).otherwise((F.lit(1.0) - cdf) * F.col("k"))
-    res = (staged.withColumn("p_value", p)
-                 .withColumn("corr", correlation_expr())
-                 .drop("__sse", "__se"))
+    res = staged.select("*", p.alias("p_value"), correlation_expr().alias("corr")).drop("__cdf")
     if max_p is not None:
         res = res.filter(F.col("p_value") < F.lit(float(max_p)))
     return res

@@ -24,8 +24,18 @@ from covary.functions.keys import month_start, safe_int
 DIMS_A = ["l_returnflag", "l_linestatus", "p_type"]
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the scan DataFrame is reused within a session so its
+    file listing and footer reading happen once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def exact_mean(col: str) -> F.Column:

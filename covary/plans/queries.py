@@ -311,10 +311,16 @@ ranked AS (SELECT *, n / total_count AS fraction,
 
 
 def _top_areas(spark, sf):
-    f = (fx.fact_a_areas(spark, sf).filter(F.year("l_shipdate") >= 1999)
-         .select(F.col("p_brand").alias("code"), F.col("s_nationkey").alias("area")))
-    # one pass: counts per (code, area); code totals and the top 7 come from those rows
-    per = period_counts(f, ["code", "area"], "n")
+    # counts per (part, supplier) first: the joins then see one row per pair,
+    # not one per event
+    li = fx.table(spark, sf, "lineitem").filter(F.year("l_shipdate") >= 1999)
+    pairs = period_counts(li, ["l_partkey", "l_suppkey"], "__c")
+    part = fx.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("code"))
+    sup = fx.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("area"))
+    f = (pairs.join(part, pairs.l_partkey == part.p_partkey, "inner")
+              .join(sup, pairs.l_suppkey == sup.s_suppkey, "inner"))
+    # code totals and the top 7 come from the (code, area) counts
+    per = f.groupBy("code", "area").agg(F.sum("__c").alias("n"))
     totals = per.groupBy("code").agg(F.sum("n").alias("total_count"))
     top = top_k(totals, ["code"], "total_count", 7)
     per_top = null_safe_join(per, F.broadcast(top), ["code"], "inner")
@@ -476,8 +482,14 @@ j AS (SELECT * FROM cases JOIN area_cost USING (area))
 
 
 def _open_range_area(spark, sf):
-    fa = fx.fact_a_areas(spark, sf).filter(in_open_range("p_size", 10, 40))
-    cases = period_counts(fa, [F.col("s_nationkey").alias("area")], "case_count")
+    li = fx.table(spark, sf, "lineitem")
+    codes = fx.table(spark, sf, "part").filter(in_open_range("p_size", 10, 40)).select("p_partkey")
+    hits = li.join(codes, li.l_partkey == codes.p_partkey, "left_semi")
+    # events per supplier before the supplier join: one row per supplier
+    per_sup = period_counts(hits, ["l_suppkey"], "__c")
+    sup = fx.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    cases = (per_sup.join(sup, per_sup.l_suppkey == sup.s_suppkey, "inner")
+                    .groupBy(F.col("s_nationkey").alias("area")).agg(F.sum("__c").alias("case_count")))
     return cases.join(fx.area_cost(spark, sf), "area", "inner")
 
 
@@ -499,9 +511,10 @@ j AS (SELECT * FROM cases JOIN area_cost USING (area))
 
 def _area_cases(spark, sf):
     cust = fx.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    fb = fx.fact_b(spark, sf)
-    cases = period_counts(fb.join(cust, fb.o_custkey == cust.c_custkey, "inner"),
-                          [F.col("c_nationkey").alias("area")], "case_count")
+    # orders per customer first (map-side combined), then the customer join
+    per_cust = period_counts(fx.fact_b(spark, sf), ["o_custkey"], "__c")
+    cases = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey, "inner")
+                     .groupBy(F.col("c_nationkey").alias("area")).agg(F.sum("__c").alias("case_count")))
     return cases.join(fx.area_cost(spark, sf), "area", "inner")
 
 
@@ -543,10 +556,13 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1
 """)
 def q_area_sum(spark, sf):
     li = fx.table(spark, sf, "lineitem")
+    # partial sums per supplier before the supplier join
+    per_sup = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("__c"),
+                                          F.sum(weighted_index(INDEX_WEIGHTS)).alias("__s"))
     sup = fx.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    j = li.join(sup, li.l_suppkey == sup.s_suppkey, "inner")
+    j = per_sup.join(sup, per_sup.l_suppkey == sup.s_suppkey, "inner")
     return (j.groupBy(F.col("s_nationkey").alias("area"))
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(weighted_index(INDEX_WEIGHTS)).alias("index_sum"))
+             .agg(F.sum("__c").alias("n"), F.sum("__s").alias("index_sum"))
              .select("area", "n", r("index_sum", 6)).orderBy("area"))
 
 

@@ -74,6 +74,13 @@ def main():
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(e)[:600]}")
             continue
+        duck_types = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                      "DATE": "date", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
+        st = dict(df.dtypes)
+        dt_ = {c: duck_types.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+        bad = {c: (st.get(c), dt_.get(c)) for c in st if st.get(c) != dt_.get(c)}
+        if bad:
+            print(f"TYPE {name}: {bad}")
         a_cols, a = canon(scols, rows)
         b_cols, b = canon(dcols, drows)
         if a_cols != b_cols:
