@@ -131,8 +131,10 @@ FROM s4 WHERE p_value < 0.05
 """)
 def q_category_screen(spark, sf):
     res = category_screen(_fact_a_keys(spark, sf), "p_brand", "period", fx.DIMS_A, top=10, max_p=0.05)
-    return res.select("p_brand", "dimension", "category", "n", "k", r("slope"), r("t_stat"),
-                      r("p_value"), r("corr"))
+    # within a group, most significant first (p, then r), as the reference reports them
+    return (res.select("p_brand", "dimension", "category", "n", "k", r("slope"), r("t_stat"),
+                       r("p_value"), r("corr"))
+               .orderBy("p_brand", "p_value", "corr"))
 
 
 # --------------------------------------------------------------------------
