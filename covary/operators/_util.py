@@ -21,15 +21,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """Equi-join on same-named keys where NULL matches NULL (``<=>``).
 
     The keys appear once in the result (taken from the left side, or from
-    the right for right-only rows of an outer join). With no keys at all the
-    two sides are joined on a constant key, which attaches a one-row side to
-    every row without a nested-loop join.
+    the right for right-only rows of an outer join). At least one key is
+    required: a one-row side is attached with a scalar subquery instead.
     """
     keys = list(keys)
     if not keys:
-        lk = left.withColumn("__one", F.lit(1))
-        rk = right.withColumn("__one", F.lit(1))
-        return lk.join(rk, "__one", how).drop("__one")
+        raise ValueError("null_safe_join needs keys; attach a one-row table with DataFrame.scalar()")
     lt = left.alias("__l")
     rt = right.select(*[F.col(f"`{c}`").alias(f"__r_{c}") if c in keys else F.col(f"`{c}`")
                         for c in right.columns]).alias("__r")

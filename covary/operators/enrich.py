@@ -39,18 +39,23 @@ def code_ranges(df: DataFrame, code: str | Column, ranges: Sequence[tuple],
     """Rows whose code lies in any of the given ranges, one row per match.
 
     ``ranges`` is a list of ``(lo, hi)`` or ``(lo, hi, label)``; each match
-    adds ``range_lo, range_hi, range_label``. The range table is as long as
-    the argument list, so broadcasting it is safe; it is compared in every
-    task without a shuffle of the facts.
+    adds ``range_lo, range_hi, range_label``. The ranges are literals of the
+    plan: every row is tested against them in generated code and the matches
+    are exploded, so there is neither a join nor a shuffle of the facts.
+    Overlapping ranges give one row per matching range.
     """
-    spark = df.sparkSession
     rows = [(int(r[0]), int(r[1]), str(r[2]) if len(r) > 2 else f"{r[0]}-{r[1]}")
             for r in ranges]
-    rng = spark.createDataFrame(rows, "range_lo int, range_hi int, range_label string")
     c = F.col(code) if isinstance(code, str) else code
-    lo_ok = c >= F.col("range_lo") if closed[0] else c > F.col("range_lo")
-    hi_ok = c <= F.col("range_hi") if closed[1] else c < F.col("range_hi")
-    return df.join(F.broadcast(rng), lo_ok & hi_ok, "inner")
+    hits = []
+    for lo, hi, label in rows:
+        lo_ok = c >= F.lit(lo) if closed[0] else c > F.lit(lo)
+        hi_ok = c <= F.lit(hi) if closed[1] else c < F.lit(hi)
+        hits.append(F.when(lo_ok & hi_ok, F.struct(F.lit(lo).alias("range_lo"), F.lit(hi).alias("range_hi"),
+                                                   F.lit(label).alias("range_label"))))
+    cols = [F.col(f"`{n}`") for n in df.columns]
+    out = df.select(*cols, F.explode(F.array(*hits)).alias("__rng")).filter(F.col("__rng").isNotNull())
+    return out.select(*cols, "__rng.range_lo", "__rng.range_hi", "__rng.range_label")
 
 
 def in_open_range(code: str | Column, lo: float, hi: float,

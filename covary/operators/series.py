@@ -80,7 +80,8 @@ def _solve(batches, names: list[str], keys: list[str]):
 
 
 def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
-                 features: Sequence[str], frac: float = 0.8) -> DataFrame:
+                 features: Sequence[str], frac: float = 0.8,
+                 materialize_split: bool = True) -> DataFrame:
     """Linear forecast of ``y`` from ``features`` per series, fitted on the
     first ``frac`` of the rows in ``order`` and scored on the rest.
 
@@ -92,6 +93,10 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
     """
     keys = as_list(series)
     split = chronological_split(df, keys, order, frac)
+    if materialize_split:
+        # read twice below (training moments, holdout scoring): computed once
+        from covary.session import materialize
+        split = materialize(split)
     names = ["intercept", *features]
     design = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
     yc = F.col(y).cast("double")

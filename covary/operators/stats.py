@@ -60,20 +60,19 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
     """
     fk = as_list(frame)
     cats = as_list(category)
-    if not fk:
-        dense = dense.withColumn("__frame", F.lit(0))
-        sparse = sparse.withColumn("__frame", F.lit(0))
-        fk = ["__frame"]
     d = dense.select(*fk, period, F.col(dense_value).cast("double").alias("__d"))
-    if center:
+    if center and fk:
         mu = d.groupBy(*fk).agg(F.avg("__d").alias("__mu"))
         d = null_safe_join(d, mu, fk).select(*fk, period, (F.col("__d") - F.col("__mu")).alias("__d"),
                                               "__mu")
+    elif center:
+        # one frame: the mean is a scalar subquery, evaluated once, no join
+        mean = d.agg(F.avg("__d")).scalar()
+        d = d.select(period, (F.col("__d") - mean).alias("__d"), mean.alias("__mu"))
     else:
         d = d.withColumn("__mu", F.lit(0.0))
-    dstat = d.groupBy(*fk).agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("__sd"),
-                               F.sum(F.col("__d") * F.col("__d")).alias("__sdd"),
-                               F.first("__mu").alias("__mu"))
+    dense_aggs = [F.count(F.lit(1)).alias("n"), F.sum("__d").alias("__sd"),
+                  F.sum(F.col("__d") * F.col("__d")).alias("__sdd"), F.first("__mu").alias("__mu")]
     s = sparse.select(*fk, period, *cats, F.col(sparse_value).cast("double").alias("__s"))
     cells = null_safe_join(s, d.select(*fk, period, "__d"), [*fk, period], "left")
     inside = F.col("__d").isNotNull()
@@ -81,7 +80,12 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
         F.coalesce(F.sum(F.when(inside, F.col("__s"))), F.lit(0.0)).alias("__ss"),
         F.coalesce(F.sum(F.when(inside, F.col("__s") * F.col("__s"))), F.lit(0.0)).alias("__sss"),
         F.coalesce(F.sum(F.col("__s") * F.col("__d")), F.lit(0.0)).alias("__ssd"))
-    m = null_safe_join(cstat, dstat, fk)
+    if fk:
+        m = null_safe_join(cstat, d.groupBy(*fk).agg(*dense_aggs), fk)
+    else:
+        # one frame: its period statistics are one struct-valued scalar subquery
+        stats = d.agg(F.struct(*dense_aggs).alias("s")).scalar()
+        m = cstat.select("*", *[stats.getField(c).alias(c) for c in ("n", "__sd", "__sdd", "__mu")])
     n = F.col("n").cast("double")
     sdd = F.col("__sdd") - F.col("__sd") * F.col("__sd") / n
     sss = F.col("__sss") - F.col("__ss") * F.col("__ss") / n
@@ -94,8 +98,7 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
     else:
         out = [mean_d.alias("mean_x"), mean_s.alias("mean_y"), sdd.alias("sxx"),
                sss.alias("syy"), ssd.alias("sxy")]
-    keys = [c for c in fk if c != "__frame"]
-    return m.select(*keys, *cats, F.col("n"), *out)
+    return m.select(*fk, *cats, F.col("n"), *out)
 
 
 def correlation_expr(sxx="sxx", syy="syy", sxy="sxy") -> Column:
@@ -151,6 +154,10 @@ def score_linear(df: DataFrame, model: DataFrame, by: Cols | None, x: str,
     is small and shuffles otherwise.
     """
     keys = as_list(by)
+    if not keys:
+        # a single model row: scalar subquery, no join
+        m = model.select(F.struct("slope", "intercept").alias("m")).scalar()
+        return df.withColumn(out, m.getField("intercept") + m.getField("slope") * F.col(x).cast("double"))
     coef = model.select(*keys, "slope", "intercept")
     joined = null_safe_join(df, coef, keys, "inner")
     return (joined.withColumn(out, F.col("intercept") + F.col("slope") * F.col(x).cast("double"))

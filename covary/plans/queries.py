@@ -58,6 +58,7 @@ from covary.operators._util import null_safe_join, rounded
 from covary.operators.counts import zero_filled_cells
 from covary.plans import fixtures as fx
 from covary.plans import sqlparts as S
+from covary.session import materialize
 from covary.sources import parse_json_column, union_all
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -260,8 +261,9 @@ WITH {fx.SQL_IND}, pv AS ({_pivot_sql(True)})
 SELECT pv.*, {S.rnd('ind.indicator', 6)} AS indicator FROM pv JOIN ind ON pv.period = ind.period
 """)
 def q_pivot_indicator_join(spark, sf):
-    wide = q_sanitized_pivot(spark, sf)
-    ind = fx.monthly_indicator(spark, sf)
+    cells, ind = _fb_cells_dense(spark, sf)   # one pass over the orders
+    wide = cells.groupBy("period").pivot("category").agg(F.sum("n"))
+    wide = sanitize_columns(wide.fillna(0, subset=[c for c in wide.columns if c != "period"]))
     return wide.join(ind, "period", "inner").withColumn("indicator", rounded("indicator", 6))
 
 
@@ -285,9 +287,10 @@ WHERE EXISTS (SELECT 1 FROM top WHERE top.p_brand IS NOT DISTINCT FROM f.p_brand
 GROUP BY ALL
 """)
 def q_semi_keep_top(spark, sf):
-    keys = _fact_a_keys(spark, sf)
-    top = top_k(period_counts(keys, ["p_brand"], "total"), ["p_brand"], "total", 10)
-    return period_counts(keep_top(keys, top, ["p_brand"]), ["p_brand", "l_returnflag", "l_linestatus"], "n")
+    counts = period_counts(_fact_a_keys(spark, sf), ["p_brand", "l_returnflag", "l_linestatus"], "n")
+    # the group totals come from the same counts, so the facts are read once
+    top = top_k(counts.groupBy("p_brand").agg(F.sum("n").alias("total")), ["p_brand"], "total", 10)
+    return keep_top(counts, top, ["p_brand"])
 
 
 @query("top_group_series", f"""
@@ -315,7 +318,8 @@ ranked AS (SELECT *, n / total_count AS fraction,
 def _top_areas(spark, sf):
     # counts per (part, supplier) first: the joins then see one row per pair,
     # not one per event
-    li = fx.table(spark, sf, "lineitem").filter(F.year("l_shipdate") >= 1999)
+    # year >= 1999 as a range on the column itself, so parquet can skip row groups
+    li = fx.table(spark, sf, "lineitem").filter(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
     pairs = period_counts(li, ["l_partkey", "l_suppkey"], "__c")
     part = fx.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("code"))
     sup = fx.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("area"))
@@ -394,11 +398,16 @@ mom AS (SELECT category, {S.moments('n', 'indicator')} FROM grid GROUP BY catego
 
 def _fb_cells_dense(spark, sf):
     fb = fx.fact_b(spark, sf)
-    cells = period_counts(fb, [F.col("o_orderpriority").alias("category"),
-                               month_start("o_orderdate").alias("period")], "n")
-    months = cells.select("period").distinct()
-    dense = months.join(fx.monthly_indicator(spark, sf), "period", "inner")
-    return cells, dense
+    # one pass over the orders gives both the counts per (category, month) and
+    # the exact price sums from which the monthly indicator follows
+    cells = (fb.groupBy(F.col("o_orderpriority").alias("category"), month_start("o_orderdate").alias("period"))
+               .agg(F.count(F.lit(1)).alias("n"),
+                    F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("__price")))
+    # months x categories rows, read by several branches: written once
+    cells = materialize(cells)
+    dense = cells.groupBy("period").agg(
+        (F.sum("__price").cast("double") / F.sum("n")).alias("indicator"))
+    return cells.select("category", "period", "n"), dense
 
 
 def _fb_moments(spark, sf):
@@ -829,11 +838,10 @@ FROM ind
 """)
 def q_month_from_position(spark, sf):
     ind = fx.monthly_indicator(spark, sf).select("period")
-    first = ind.agg(F.min("period").alias("first"))
-    j = null_safe_join(ind, first, [])
-    pos = months_since("period", "first")
-    return j.select("period", pos.alias("pos"), month_from_position(pos).alias("month_from_pos"),
-                    F.month("period").alias("month"))
+    first = ind.agg(F.min("period")).scalar()   # scalar subquery: the first month
+    pos = months_since("period", first)
+    return ind.select("period", pos.alias("pos"), month_from_position(pos).alias("month_from_pos"),
+                      F.month("period").alias("month"))
 
 
 # --------------------------------------------------------------------------

@@ -40,6 +40,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
     return spark
 
 
+def materialize(df):
+    """Write a small intermediate that several branches of a plan read to the
+    reliable checkpoint folder, so the facts behind it are scanned once and a
+    lost executor re-reads the files instead of recomputing the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
