@@ -59,7 +59,7 @@ from covary.operators.counts import zero_filled_cells
 from covary.plans import fixtures as fx
 from covary.plans import sqlparts as S
 from covary.session import materialize
-from covary.sources import parse_json_column, union_all
+from covary.sources import parse_json_column, read_events, read_indicator, union_all, write_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -869,6 +869,61 @@ def q_json_field_counts(spark, sf):
     return period_counts(parsed, ["event_type", F.col("p.k").alias("k")], "n")
 
 
+def _scratch(spark, kind: str) -> str:
+    """A fresh folder under the session's reliable checkpoint folder."""
+    import uuid
+
+    from covary.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+@query("json_shard_counts", """
+SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n
+FROM orders GROUP BY 1, 2
+""")
+def q_json_shard_counts(spark, sf):
+    # The orders become JSON-lines shards (one folder per order year, dates as
+    # 'MM/dd/yyyy hh:mm:ss a' text), which are read back by ONE scan over all
+    # shards with a typed schema and a corrupt-record column.
+    base = _scratch(spark, "shards")
+    text = fx.fact_b(spark, sf).select(
+        "o_orderkey", "o_orderpriority",
+        F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a").alias("order_date"),
+        F.year("o_orderdate").alias("shard"))
+    write_table(text, base, "json", partition_by=["shard"])
+    schema = "o_orderkey long, o_orderpriority string, order_date string, _corrupt string"
+    ev = read_events(spark, [f"{base}/shard=*"], schema, "json", corrupt_column="_corrupt")
+    ts = parse_timestamp("order_date", "MM/dd/yyyy hh:mm:ss a")
+    return period_counts(ev, ["o_orderpriority", F.year(ts).alias("year")], "n")
+
+
+@query("csv_indicator_corr", f"""
+WITH {fx.SQL_IND},
+cases AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+  COUNT(*) AS case_count FROM orders GROUP BY 1, 2),
+j AS (SELECT * FROM cases JOIN (SELECT CAST(year(period) AS INTEGER) AS year,
+  CAST(month(period) AS INTEGER) AS month, indicator FROM ind) USING (year, month))
+SELECT CAST(regr_count(indicator, case_count) AS BIGINT) AS n,
+  {S.rnd(S.corr('regr_sxx(indicator, case_count)', 'regr_syy(indicator, case_count)', 'regr_sxy(indicator, case_count)'))} AS corr
+FROM j
+""")
+def q_csv_indicator_corr(spark, sf):
+    # The monthly indicator is written as a header CSV in the layout of a
+    # published series (Year, Period 'M01'..'M12', Value) and read back typed.
+    path = _scratch(spark, "indicator")
+    ind = fx.monthly_indicator(spark, sf).select(
+        F.year("period").alias("Year"), F.concat(F.lit("M"), zero_pad(F.month("period"), 2)).alias("Period"),
+        F.col("indicator").alias("Value"))
+    write_table(ind, path, "csv")
+    back = read_indicator(spark, path, "Year int, Period string, Value double")
+    back = back.select(F.col("Year").alias("year"), period_number("Period").alias("month"),
+                       F.col("Value").alias("indicator"))
+    cases = period_counts(fx.fact_b(spark, sf), [F.year("o_orderdate").alias("year"),
+                                                 F.month("o_orderdate").alias("month")], "case_count")
+    j = cases.join(back, ["year", "month"], "inner")
+    return correlation_by(j, None, "case_count", "indicator").select("n", r("corr"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
