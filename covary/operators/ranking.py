@@ -26,10 +26,14 @@ def keep_top(df: DataFrame, top: DataFrame, keys: Cols) -> DataFrame:
     """Rows of ``df`` whose keys occur in ``top`` (NULL matches NULL).
 
     ``top`` must be a bounded selection -- a top-k result or another list of
-    known small size -- because it is broadcast to every task.
+    known small size -- because it is broadcast to every task. It is an inner
+    join against the distinct keys (the same rows as a semi-join): Catalyst
+    pushes a semi-join below an aggregate of ``df``, which would stop that
+    aggregate from being shared with the branch that computed ``top``.
     """
     keys = as_list(keys)
-    return null_safe_join(df, F.broadcast(top.select(*keys).distinct()), keys, "left_semi")
+    joined = null_safe_join(df, F.broadcast(top.select(*keys).distinct()), keys, "inner")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def rank_within(df: DataFrame, partition: Cols, order: str, k: int,

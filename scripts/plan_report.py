@@ -1,9 +1,10 @@
 """Summarise the physical plan of every query: joins, exchanges, scans.
 
 usage: python scripts/plan_report.py [sf_dir] [name ...]
-Prints one line per query: exchange / broadcast / join counts, any
-nested-loop or cartesian join, and the columns each parquet scan reads with
-its pushed filters.
+Runs each query and prints, from AQE's final plan, one line per query with
+exchange / reused-exchange / broadcast / join counts, any nested-loop or
+cartesian join, and the columns each parquet scan reads with its pushed
+filters.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ def main():
         if names and name not in names:
             continue
         df = fn(spark, sf)
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        df.collect()   # run the DataFrame's own execution so AQE's final plan is reported
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         kinds = {k: len(re.findall(k, plan)) for k in
-                 ("Exchange hashpartitioning", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
-                  "BroadcastNestedLoopJoin", "CartesianProduct", "Window", "FileScan")}
+                 ("Exchange hashpartitioning", "ReusedExchange", "BroadcastExchange", "SortMergeJoin",
+                  "BroadcastHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct", "Window", "FileScan")}
         flags = [k for k in ("BroadcastNestedLoopJoin", "CartesianProduct") if kinds[k]]
         scans = sorted(set(re.findall(r"FileScan parquet \[([^\]]*)\].*?PushedFilters: \[([^\]]*)\]", plan)))
         print(f"{name}: " + ", ".join(f"{k.split()[0]}={v}" for k, v in kinds.items() if v)
