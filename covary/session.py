@@ -52,8 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system). Only when the session names none, as in a bare local test,
-    a fresh folder under the system temp directory is used.
+    file system) and is required. Only a local-mode session that names none,
+    as in a bare test, gets a fresh folder under the system temp directory.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -66,7 +66,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises on some versions
             configured = None
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster "
+                             "(checkpoints and scratch tables are written there)")
         configured = tempfile.mkdtemp(prefix="covary-ckpt-")
-    os.makedirs(configured, exist_ok=True) if "://" not in configured else None
+    if "://" not in configured:
+        os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
