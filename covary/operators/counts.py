@@ -133,16 +133,10 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
 def summary_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count / mean / stddev / min / max of numeric columns in ONE pass,
     returned as long rows ``(column, stat, value)``."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"{c}\u0001count"),
-                 F.avg(x).alias(f"{c}\u0001mean"),
-                 F.stddev_samp(x).alias(f"{c}\u0001stddev"),
-                 F.min(x).alias(f"{c}\u0001min"),
-                 F.max(x).alias(f"{c}\u0001max")]
-    wide = df.agg(*aggs)
-    pairs = [F.struct(F.lit(n.split("\u0001")[0]).alias("column"),
-                      F.lit(n.split("\u0001")[1]).alias("stat"),
-                      F.col(f"`{n}`").alias("value")) for n in wide.columns]
+    stats = {"count": lambda x: F.count(x).cast("double"), "mean": F.avg,
+             "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    labels = [(c, s) for c in cols for s in stats]
+    wide = df.agg(*[stats[s](F.col(c).cast("double")).alias(f"_{i}") for i, (c, s) in enumerate(labels)])
+    pairs = [F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"_{i}").alias("value"))
+             for i, (c, s) in enumerate(labels)]
     return wide.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from covary.operators import (
     category_screen,
     correlation_by,
-    directional_screen,
     elastic_net_1d,
     moments,
     score_linear,
