@@ -59,23 +59,21 @@ def min_max_scale(df: DataFrame, by: Cols, cols: Sequence[str], lo: float = -1.0
 
 
 def _solve(batches, names: list[str], keys: list[str]):
-    """Least squares per moment row: ``(X'X) b = X'y``, minimum-norm solution."""
+    """Least squares for every moment row of a batch at once:
+    ``(X'X) b = X'y`` with the minimum-norm (pseudo-inverse) solution, so a
+    singular design (too few rows, a constant lag) still gets coefficients."""
     p = len(names)
     for pdf in batches:
-        coefs = []
-        for _, row in pdf.iterrows():
-            xtx = np.empty((p, p))
-            xty = np.empty(p)
-            for i in range(p):
-                xty[i] = row[f"__xy_{i}"]
-                for j in range(p):
-                    a, b = (i, j) if i <= j else (j, i)
-                    xtx[i, j] = row[f"__xx_{a}_{b}"]
-            coefs.append(np.linalg.pinv(xtx) @ xty)
+        m = len(pdf)
+        xtx = np.empty((m, p, p))
+        for i in range(p):
+            for j in range(i, p):
+                xtx[:, i, j] = xtx[:, j, i] = pdf[f"__xx_{i}_{j}"].to_numpy(dtype=float)
+        xty = np.stack([pdf[f"__xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
+        coef = np.einsum("mij,mj->mi", np.linalg.pinv(xtx), xty) if m else np.empty((0, p))
         out = pdf[keys + ["n_train"]].copy()
-        arr = np.array(coefs).reshape(len(pdf), p)
         for i, name in enumerate(names):
-            out[f"b_{name}"] = arr[:, i] if len(pdf) else pd.Series(dtype="float64")
+            out[f"b_{name}"] = pd.Series(coef[:, i], index=pdf.index, dtype="float64")
         yield out
 
 
