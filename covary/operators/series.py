@@ -58,25 +58,6 @@ def min_max_scale(df: DataFrame, by: Cols, cols: Sequence[str], lo: float = -1.0
     return out
 
 
-def _solve(batches, names: list[str], keys: list[str]):
-    """Least squares for every moment row of a batch at once:
-    ``(X'X) b = X'y`` with the minimum-norm (pseudo-inverse) solution, so a
-    singular design (too few rows, a constant lag) still gets coefficients."""
-    p = len(names)
-    for pdf in batches:
-        m = len(pdf)
-        xtx = np.empty((m, p, p))
-        for i in range(p):
-            for j in range(i, p):
-                xtx[:, i, j] = xtx[:, j, i] = pdf[f"__xx_{i}_{j}"].to_numpy(dtype=float)
-        xty = np.stack([pdf[f"__xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
-        coef = np.einsum("mij,mj->mi", np.linalg.pinv(xtx), xty) if m else np.empty((0, p))
-        out = pdf[keys + ["n_train"]].copy()
-        for i, name in enumerate(names):
-            out[f"b_{name}"] = pd.Series(coef[:, i], index=pdf.index, dtype="float64")
-        yield out
-
-
 def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
                  features: Sequence[str], frac: float = 0.8,
                  materialize_split: bool = True) -> DataFrame:
@@ -107,7 +88,27 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in mom.schema.fields if f.name in keys)
     out_schema = f"{key_schema}, n_train bigint, " + ", ".join(f"b_{n} double" for n in names)
-    coef = mom.mapInPandas(lambda it: _solve(it, names, keys), out_schema)
+    p = len(names)
+
+    def solve(batches):
+        # Least squares for every moment row of a batch at once: (X'X) b = X'y
+        # with the minimum-norm (pseudo-inverse) solution, so a singular design
+        # (too few rows, a constant lag) still gets coefficients. Defined here
+        # so it is shipped by value: workers need numpy and pandas only.
+        for pdf in batches:
+            m = len(pdf)
+            xtx = np.empty((m, p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    xtx[:, i, j] = xtx[:, j, i] = pdf[f"__xx_{i}_{j}"].to_numpy(dtype=float)
+            xty = np.stack([pdf[f"__xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
+            coef = np.einsum("mij,mj->mi", np.linalg.pinv(xtx), xty) if m else np.empty((0, p))
+            out = pdf[keys + ["n_train"]].copy()
+            for i, name in enumerate(names):
+                out[f"b_{name}"] = pd.Series(coef[:, i], index=pdf.index, dtype="float64")
+            yield out
+
+    coef = mom.mapInPandas(solve, out_schema)
     test = split.filter(~F.col("is_train"))
     pred = F.col("b_intercept")
     for f in features:
