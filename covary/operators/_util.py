@@ -55,3 +55,20 @@ def rounded(col: Column | str, digits: int = 8) -> Column:
     """Round a double and fold -0.0 into 0.0 (for stable comparisons)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c, digits) + F.lit(0.0)
+
+
+def rounded_sig(col: Column | str, sig: int = 10) -> Column:
+    """Round a double to ``sig`` significant digits (and fold -0.0).
+
+    For statistics without a fixed scale (slopes, sums), whose last bits
+    depend on the order in which partial aggregates are combined. The power
+    of ten is an exact double and the value is scaled by multiplication or
+    division with it, so any IEEE engine computes the same result.
+    """
+    x = F.col(col) if isinstance(col, str) else col
+    k = F.lit(sig - 1) - F.floor(F.log10(F.abs(x)))
+    q = F.pow(F.lit(10.0), F.abs(k))
+    out = (F.when(x == 0, F.lit(0.0))
+            .when(k >= 0, F.round(x * q, 0) / q)
+            .otherwise(F.round(x / q, 0) * q))
+    return out + F.lit(0.0)

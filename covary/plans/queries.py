@@ -1,9 +1,11 @@
 """The query catalog: each analysis of the reference as one Spark plan over
 the driver tables, paired with a DuckDB twin written from the definitions.
 
-Every query reads whole tables. Doubles in results are rounded (8 decimals
-for bounded statistics, fewer for large sums) and ``-0.0`` is folded into
-``0.0`` so the two engines can be compared by value.
+Every query reads whole tables. Doubles in results are rounded -- fixed
+decimals for statistics on a fixed scale (r, p, shares), 10 significant
+digits for slopes, sums and other unbounded values -- and ``-0.0`` is folded
+into ``0.0``, so results do not depend on the order in which partial
+aggregates are combined and the two engines can be compared by value.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ from covary.operators import (
     with_indicator,
     zero_filled_moments,
 )
-from covary.operators._util import null_safe_join, rounded
+from covary.operators._util import null_safe_join, rounded, rounded_sig
 from covary.operators.counts import zero_filled_cells
 from covary.plans import fixtures as fx
 from covary.plans import sqlparts as S
@@ -76,9 +78,15 @@ def query(name: str, sql: str | None = None):
 
 
 def r(col: str, digits: int = 8):
+    """Fixed decimals: for statistics on a fixed scale (r, p, shares)."""
     return rounded(col, digits).alias(col)
 
 
+def rs(col: str, sig: int = 10):
+    """Significant digits: for slopes, sums and other unbounded values."""
+    return rounded_sig(col, sig).alias(col)
+
+
 EPS = "2.220446049250313e-16::DOUBLE"
 
 # --------------------------------------------------------------------------
@@ -126,14 +134,14 @@ s2 AS (SELECT *, slope / (sqrt(sse / (sxx + {EPS})) + {EPS}) AS t_stat FROM s1),
 s3 AS (SELECT *, {S.t_cdf('t_stat', 'n - 2')} AS cdf FROM s2),
 s4 AS (SELECT *, CASE WHEN slope < 0 THEN cdf * k ELSE (1.0::DOUBLE - cdf) * k END AS p_value,
   {S.corr()} AS corr FROM s3)
-SELECT p_brand, dimension, category, n, k, {S.rnd('slope')} AS slope, {S.rnd('t_stat')} AS t_stat,
+SELECT p_brand, dimension, category, n, k, {S.rnd_sig('slope')} AS slope, {S.rnd_sig('t_stat')} AS t_stat,
   {S.rnd('p_value')} AS p_value, {S.rnd('corr')} AS corr
 FROM s4 WHERE p_value < 0.05
 """)
 def q_category_screen(spark, sf):
     res = category_screen(_fact_a_keys(spark, sf), "p_brand", "period", fx.DIMS_A, top=10, max_p=0.05)
     # within a group, most significant first (p, then r), as the reference reports them
-    return (res.select("p_brand", "dimension", "category", "n", "k", r("slope"), r("t_stat"),
+    return (res.select("p_brand", "dimension", "category", "n", "k", rs("slope"), rs("t_stat"),
                        r("p_value"), r("corr"))
                .orderBy("p_brand", "p_value", "corr"))
 
@@ -562,7 +570,7 @@ def q_weighted_index(spark, sf):
 
 
 @query("area_sum", f"""
-SELECT s_nationkey AS area, COUNT(*) AS n, {S.rnd(f'SUM({SQL_WINDEX})', 6)} AS index_sum
+SELECT s_nationkey AS area, COUNT(*) AS n, {S.rnd_sig(f'SUM({SQL_WINDEX})')} AS index_sum
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1
 """)
 def q_area_sum(spark, sf):
@@ -574,7 +582,7 @@ def q_area_sum(spark, sf):
     j = per_sup.join(sup, per_sup.l_suppkey == sup.s_suppkey, "inner")
     return (j.groupBy(F.col("s_nationkey").alias("area"))
              .agg(F.sum("__c").alias("n"), F.sum("__s").alias("index_sum"))
-             .select("area", "n", r("index_sum", 6)).orderBy("area"))
+             .select("area", "n", rs("index_sum")).orderBy("area"))
 
 
 # --------------------------------------------------------------------------
@@ -583,19 +591,19 @@ def q_area_sum(spark, sf):
 
 @query("elastic_net_fit", f"""
 WITH {SQL_FB_GRID}, {S.fit_select()}
-SELECT category, n, {S.rnd('slope')} AS slope, {S.rnd('intercept')} AS intercept,
-  {S.rnd('sqrt(rss / n)')} AS rmse, {S.rnd('CASE WHEN syy > 0 THEN 1.0::DOUBLE - rss / syy END')} AS r2
+SELECT category, n, {S.rnd_sig('slope')} AS slope, {S.rnd_sig('intercept')} AS intercept,
+  {S.rnd_sig('sqrt(rss / n)')} AS rmse, {S.rnd('CASE WHEN syy > 0 THEN 1.0::DOUBLE - rss / syy END')} AS r2
 FROM fit
 """)
 def q_elastic_net_fit(spark, sf):
     fit = elastic_net_1d(_fb_moments(spark, sf), reg=0.3, mix=0.8)
-    return fit.select("category", "n", r("slope"), r("intercept"), r("rmse"), r("r2"))
+    return fit.select("category", "n", rs("slope"), rs("intercept"), rs("rmse"), r("r2"))
 
 
 @query("linear_predictions", f"""
 WITH {SQL_FB_GRID}, {S.fit_select()}
 SELECT g.category, g.period, {S.rnd('g.indicator', 6)} AS indicator, g.n,
-  {S.rnd('fit.intercept + fit.slope * g.indicator', 6)} AS prediction
+  {S.rnd_sig('fit.intercept + fit.slope * g.indicator')} AS prediction
 FROM grid g JOIN fit ON g.category IS NOT DISTINCT FROM fit.category
 """)
 def q_linear_predictions(spark, sf):
@@ -605,16 +613,16 @@ def q_linear_predictions(spark, sf):
     fit = elastic_net_1d(mom)
     grid = zero_filled_cells(cells, "period", "category", "n").join(dense, "period", "inner")
     scored = score_linear(grid, fit, ["category"], "indicator")
-    return scored.select("category", "period", r("indicator", 6), "n", r("prediction", 6))
+    return scored.select("category", "period", r("indicator", 6), "n", rs("prediction"))
 
 
 def _tested(fit_select_cols, tested):
-    return tested.select(*fit_select_cols, "n", r("slope"), r("intercept"), r("t_stat"), r("p_value"),
+    return tested.select(*fit_select_cols, "n", rs("slope"), rs("intercept"), rs("t_stat"), r("p_value"),
                          "alpha", "significant", "verdict")
 
 
-SQL_TEST_OUT = (f"n, {S.rnd('slope')} AS slope, {S.rnd('intercept')} AS intercept, "
-                f"{S.rnd('t_stat')} AS t_stat, {S.rnd('p_value')} AS p_value, alpha, significant, verdict")
+SQL_TEST_OUT = (f"n, {S.rnd_sig('slope')} AS slope, {S.rnd_sig('intercept')} AS intercept, "
+                f"{S.rnd_sig('t_stat')} AS t_stat, {S.rnd('p_value')} AS p_value, alpha, significant, verdict")
 
 
 @query("slope_test", f"""
@@ -638,6 +646,20 @@ def q_slope_test_damped(spark, sf):
     return _tested([], slope_test(elastic_net_1d(mom), sxx_damping=1e9))
 
 
+@query("bucket_slope_test", f"""
+WITH {fx.SQL_PANEL}, {SQL_YEAR_CASES.format(where='')},
+mom AS (SELECT bucket, {S.moments('case_count', 'share')} FROM j GROUP BY bucket),
+{S.fit_select()}, {S.test_select()}
+SELECT bucket, {SQL_TEST_OUT} FROM tested
+""")
+def q_bucket_slope_test(spark, sf):
+    # yearly events against each bucket's share: every bucket fitted and tested in one job
+    li = fx.table(spark, sf, "lineitem")
+    cases = period_counts(li, [F.year("l_shipdate").alias("year")], "case_count")
+    j = cases.join(fx.yearly_panel(spark, sf), "year", "inner")
+    return _tested(["bucket"], slope_test(elastic_net_1d(moments(j, "bucket", "share", "case_count"))))
+
+
 @query("category_slope_tests", f"""
 WITH {SQL_FB_GRID}, {S.fit_select()}, {S.test_select()}
 SELECT category, {SQL_TEST_OUT} FROM tested

@@ -15,6 +15,15 @@ def rnd(expr: str, digits: int = 8) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def rnd_sig(expr: str, sig: int = 10) -> str:
+    """Round to ``sig`` significant digits with exact powers of ten."""
+    x = f"({expr})"
+    k = f"({sig - 1} - floor(log10(abs({x}))))"
+    q = f"pow(10.0::DOUBLE, abs({k}))"
+    return (f"((CASE WHEN {x} = 0 THEN 0.0::DOUBLE WHEN {k} >= 0 THEN round({x} * {q}, 0) / {q} "
+            f"ELSE round({x} / {q}, 0) * {q} END) + 0.0)")
+
+
 def month(expr: str) -> str:
     return f"CAST(date_trunc('month', {expr}) AS DATE)"
 
