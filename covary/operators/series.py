@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.operators._util import Cols, as_list
+from covary.operators._util import Cols, as_list, null_safe_join
 
 
 def lag_features(df: DataFrame, series: Cols, order: str, col: str,
@@ -64,10 +64,10 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
     """Linear forecast of ``y`` from ``features`` per series, fitted on the
     first ``frac`` of the rows in ``order`` and scored on the rest.
 
-    The fit needs only the cross-products of (1, features, y) over the
-    training rows: one grouped aggregate gives them for all series. The
-    small solve (p x p, p = features + 1) runs in ``mapInPandas`` over those
-    moment rows, one row per series. Holdout rows are scored by a join with
+    The fit needs only the means and the centred cross-products of
+    (features, y) over the training rows: grouped aggregates give them for
+    all series. The small solve (p x p, p = number of features) runs in
+    ``mapInPandas`` over those moment rows, one row per series. Holdout rows are scored by a join with
     the coefficients. Returns ``series, n_train, n_test, mse, b_*``.
     """
     keys = as_list(series)
@@ -77,24 +77,35 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
         from covary.session import materialize
         split = materialize(split)
     names = ["intercept", *features]
-    design = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
     yc = F.col(y).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n_train")]
-    for i in range(len(design)):
-        aggs.append(F.sum(design[i] * yc).alias(f"__xy_{i}"))
-        for j in range(i, len(design)):
-            aggs.append(F.sum(design[i] * design[j]).alias(f"__xx_{i}_{j}"))
-    mom = split.filter("is_train").groupBy(*keys).agg(*aggs)
+    train = split.filter("is_train")
+    # Centre on the per-series training means first: lagged indicators are
+    # large and nearly collinear, and centred cross-products keep the normal
+    # equations well conditioned. The intercept follows from the means.
+    means = train.groupBy(*keys).agg(F.avg(yc).alias("__my"),
+                                     *[F.avg(F.col(f).cast("double")).alias(f"__m{i}")
+                                       for i, f in enumerate(features)])
+    tc = null_safe_join(train, means, keys, "inner")
+    xs = [F.col(f).cast("double") - F.col(f"__m{i}") for i, f in enumerate(features)]
+    ys = yc - F.col("__my")
+    aggs = [F.count(F.lit(1)).alias("n_train"), F.first("__my").alias("__my"),
+            *[F.first(f"__m{i}").alias(f"__m{i}") for i in range(len(features))]]
+    for i in range(len(xs)):
+        aggs.append(F.sum(xs[i] * ys).alias(f"__xy_{i}"))
+        for j in range(i, len(xs)):
+            aggs.append(F.sum(xs[i] * xs[j]).alias(f"__xx_{i}_{j}"))
+    mom = tc.groupBy(*keys).agg(*aggs)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in mom.schema.fields if f.name in keys)
     out_schema = f"{key_schema}, n_train bigint, " + ", ".join(f"b_{n} double" for n in names)
-    p = len(names)
+    p = len(features)
 
     def solve(batches):
         # Least squares for every moment row of a batch at once: (X'X) b = X'y
-        # with the minimum-norm (pseudo-inverse) solution, so a singular design
-        # (too few rows, a constant lag) still gets coefficients. Defined here
-        # so it is shipped by value: workers need numpy and pandas only.
+        # on centred data, with the minimum-norm (pseudo-inverse) solution so
+        # a singular design (too few rows, a constant lag) still gets
+        # coefficients. Defined here so it is shipped by value: workers need
+        # numpy and pandas only.
         for pdf in batches:
             m = len(pdf)
             xtx = np.empty((m, p, p))
@@ -103,8 +114,11 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
                     xtx[:, i, j] = xtx[:, j, i] = pdf[f"__xx_{i}_{j}"].to_numpy(dtype=float)
             xty = np.stack([pdf[f"__xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
             coef = np.einsum("mij,mj->mi", np.linalg.pinv(xtx), xty) if m else np.empty((0, p))
+            mx = np.stack([pdf[f"__m{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
+            intercept = pdf["__my"].to_numpy(dtype=float) - (coef * mx).sum(axis=1)
             out = pdf[keys + ["n_train"]].copy()
-            for i, name in enumerate(names):
+            out["b_intercept"] = pd.Series(intercept, index=pdf.index, dtype="float64")
+            for i, name in enumerate(features):
                 out[f"b_{name}"] = pd.Series(coef[:, i], index=pdf.index, dtype="float64")
             yield out
 
