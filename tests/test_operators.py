@@ -168,3 +168,12 @@ def test_nearest_area_exact_against_brute_force(spark):
 def test_haversine(spark):
     d = spark.range(1).select(haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("d")).first().d
     assert d == pytest.approx(2 * math.pi * 6371.0 / 360, rel=1e-12)
+
+
+def test_lags_count_rows_not_months(spark):
+    # month 3 is missing: the lag of month 4 is month 2's value
+    s = spark.createDataFrame([("s", 1, 10.0), ("s", 2, 20.0), ("s", 4, 40.0), ("s", 5, None)],
+                              "s string, m int, u double")
+    got = {r.m: r for r in lag_features(s, "s", "m", "u", (1, 2)).collect()}
+    assert got[4].u_1 == 20.0 and got[4].u_2 == 10.0
+    assert got[5].u_0 == -1.0 and got[5].u_1 == 40.0   # a missing indicator value is filled
