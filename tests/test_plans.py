@@ -40,3 +40,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_linestatus,F\)", final)
     cols = re.search(r"FileScan parquet \[([^\]]*)\][^\n]*lineitem", final).group(1)
     assert set(re.sub(r"#\d+L?", "", cols).split(",")) == {"l_linestatus", "l_shipdate"}
+
+
+def test_events_combined_map_side(spark):
+    # a hot key costs one partial row per task: the count is split into
+    # partial (before the shuffle) and final aggregates
+    final = _final_plan(queries()["category_screen"](spark, SF001))
+    assert "partial_count" in final
+    first_exchange = final.rfind("Exchange hashpartitioning")
+    assert "partial_count" in final[first_exchange:]
