@@ -60,7 +60,9 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
     """
     fk = as_list(frame)
     cats = as_list(category)
-    d = dense.select(*fk, period, F.col(dense_value).cast("double").alias("__d"))
+    # a period whose dense value is NULL is no pair at all (as in regr_*)
+    d = (dense.select(*fk, period, F.col(dense_value).cast("double").alias("__d"))
+              .filter(F.col("__d").isNotNull()))
     if center and fk:
         mu = d.groupBy(*fk).agg(F.avg("__d").alias("__mu"))
         d = null_safe_join(d, mu, fk).select(*fk, period, (F.col("__d") - F.col("__mu")).alias("__d"),

@@ -186,3 +186,11 @@ def test_category_screen_matches_reference_formulas(spark):
             assert r.k == k and r.n == n
             assert r.slope == pytest.approx(beta, abs=1e-9)
             assert r.p_value == pytest.approx(p, abs=1e-6)
+
+
+def test_zero_filled_moments_skip_null_dense_value(spark):
+    dense = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("a", 3, 3.0)], "f string, p int, d double")
+    sparse = spark.createDataFrame([("a", 1, "u", 2), ("a", 2, "u", 9), ("a", 3, "u", 4)],
+                                   "f string, p int, c string, s long")
+    r = zero_filled_moments(dense, sparse, "f", "p", "c", "d", "s", dense_role="x").first()
+    assert r.n == 2 and r.sxx == pytest.approx(2.0) and r.sxy == pytest.approx(2.0)
