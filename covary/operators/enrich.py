@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covary.operators._util import Cols, as_list, null_safe_join
+from covary.session import materialize
 
 # Mean Earth radius in km and the degree -> radian factor.
 EARTH_RADIUS_KM = 6371.0
@@ -147,7 +148,7 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
                          .alias("__best")))
         if checkpoint and not last:
             # computed once: feeds both this level's output and the next level's input
-            best = best.checkpoint(eager=True)
+            best = materialize(best)
         if last:
             certified = best
         else:
@@ -161,7 +162,7 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
             break
         pending = pending.join(certified.select(point_key), point_key, "left_anti")
         if checkpoint:
-            pending = pending.checkpoint(eager=True)
+            pending = materialize(pending)
             if pending.isEmpty():
                 break
     out = done[0]

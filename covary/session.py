@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 # Settings every session of ours relies on. AQE re-plans joins from runtime
@@ -45,7 +46,14 @@ def materialize(df):
     reliable checkpoint folder, so the facts behind it are scanned once and a
     lost executor re-reads the files instead of recomputing the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A reliable checkpoint writes its files in a second job; without a
+    # persisted input that job recomputes the whole plan. The copy kept
+    # (memory, spilling to disk) lives only until the files are written.
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
