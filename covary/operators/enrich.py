@@ -87,9 +87,21 @@ def _cells(lat: Column, lon: Column, g: float, nlon: int) -> tuple[Column, Colum
     return iy, ix
 
 
+def _auto_cell_deg(cen: DataFrame) -> float:
+    """Twice the even-spread spacing of the centroids, in degrees (0.001..10):
+    about 4 centroids per cell, so about 36 candidates per point."""
+    row = cen.agg(F.count(F.lit(1)).alias("n"),
+                  (F.max("__clat") - F.min("__clat")).alias("dlat"),
+                  (F.max("__clon") - F.min("__clon")).alias("dlon")).first()
+    if not row or not row["n"]:
+        return 1.0
+    area = max(row["dlat"] or 0.0, 1e-3) * max(row["dlon"] or 0.0, 1e-3)
+    return min(10.0, max(1e-3, 2.0 * math.sqrt(area / row["n"])))
+
+
 def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
                  area_key: str, lat: str = "lat", lon: str = "lon",
-                 cell_deg: float = 0.05, checkpoint: bool = True) -> DataFrame:
+                 cell_deg: float | str = 0.05, checkpoint: bool = True) -> DataFrame:
     """Exact nearest centroid (haversine) for every point, as an equi-join.
 
     Rows with a NULL coordinate are dropped. Space is cut into cells of
@@ -104,6 +116,11 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
     resolved exactly. Nothing is capped and no all-pairs product is formed
     except for points that have no centroid within a quarter of the globe.
 
+    ``cell_deg="auto"`` sizes the first cells from the centroids: twice the
+    side of the square one centroid would get if they were spread evenly over
+    their bounding box (one aggregate row read on the driver). Finer cells
+    mean fewer candidates but more points escalating to the next level.
+
     Ties at equal distance go to the smallest ``area_key``. Returns
     ``point_key, area_key, dist_km``. Each level's pending points are
     checkpointed to the session's reliable checkpoint folder, which cuts
@@ -115,7 +132,9 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
     cen = (centroids.na.drop(subset=[lat, lon])
                     .select(area_key, F.col(lat).cast("double").alias("__clat"),
                             F.col(lon).cast("double").alias("__clon")))
-    n0 = max(4, int(math.ceil(360.0 / cell_deg)))
+    if cell_deg == "auto":
+        cell_deg = _auto_cell_deg(cen)
+    n0 = max(4, int(math.ceil(360.0 / float(cell_deg))))
     levels = []
     nlon = n0
     while True:

@@ -177,3 +177,14 @@ def test_lags_count_rows_not_months(spark):
     got = {r.m: r for r in lag_features(s, "s", "m", "u", (1, 2)).collect()}
     assert got[4].u_1 == 20.0 and got[4].u_2 == 10.0
     assert got[5].u_0 == -1.0 and got[5].u_1 == 40.0   # a missing indicator value is filled
+
+
+def test_nearest_area_auto_cells(spark):
+    rng = np.random.default_rng(5)
+    pts = [(i, float(rng.uniform(40.4, 41.0)), float(rng.uniform(-74.3, -73.6))) for i in range(400)]
+    cents = [(j, float(rng.uniform(40.5, 40.9)), float(rng.uniform(-74.2, -73.7))) for j in range(60)]
+    pdf = spark.createDataFrame(pts, "pid long, lat double, lon double")
+    cdf = spark.createDataFrame(cents, "aid long, lat double, lon double")
+    got = {r.pid: r.aid for r in nearest_area(pdf, cdf, "pid", "aid", cell_deg="auto").collect()}
+    want = _brute_nearest(pts, cents)
+    assert got == {pid: aid for pid, (_, aid) in want.items()}
