@@ -7,6 +7,6 @@ returns a DataFrame; statistics are grouped aggregates and native column
 expressions, so one job covers all categories at once.
 """
 
-from covary.session import ensure_checkpoint_dir, local_session
+from covary.session import ensure_checkpoint_dir, local_session, materialize
 
-__all__ = ["ensure_checkpoint_dir", "local_session"]
+__all__ = ["ensure_checkpoint_dir", "local_session", "materialize"]
