@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covary.llm import decontaminate, exact_dedup, simhash
+from covary.llm import decontaminate, exact_dedup, simhash, toxicity
 from covary.llm._common import saved
 from covary.llm.bpe import bpe_round_trip
 from covary.llm.queries import vocabulary
@@ -23,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go. The model is learned
+    from the labelled documents that are not held out."""
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.drop_exact_copies(docs)
@@ -44,8 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, vocabulary("byte_bpe_50k.json"), ids=True)
 
 
-STAGES = [("exact dedup", exact_copies), ("simhash near-dedup", near_copies),
-          ("benchmark decontamination", contaminated), ("bpe encoding and decoding", tokens)]
+STAGES = [("toxicity", toxic), ("exact dedup", exact_copies), ("simhash near-dedup", near_copies), ("benchmark decontamination", contaminated), ("bpe encoding and decoding", tokens)]
 
 #: Fingerprints and merges have no form in SQL.
 ORACLE_SQL = None

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covary.llm import decontaminate, exact_dedup, records, simhash, token_counts, url_rules
+from covary.llm import (decontaminate, exact_dedup, langid, records, simhash, suffix_dedup, token_counts, toxicity,
+                        url_rules)
 from covary.llm.bpe import bpe_round_trip
 
 
@@ -38,6 +39,18 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +65,58 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_bpe_round_trip, op3_token_counts, op4_token_records,
-    op8_exact_dedup, op9_url_filters, op10_decontamination)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op5_suffix_dedup, op6_language_id, op7_toxicity, op8_exact_dedup, op9_url_filters, op10_decontamination)}
+
+BLANKS = "chr(32), ''), chr(9), ''), chr(10), ''), chr(11), ''), chr(12), ''), chr(13), '')"
+
+# The path stops at the first ? or #; RE2 has no look-ahead and needs none here.
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": f"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cp,
+                  {"replace(" * 6}coalesce(text, ''), {BLANKS} AS norm FROM documents),
+g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-cp, doc_id)) AS keep_id FROM d GROUP BY norm)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256,
+       CAST(cp AS BIGINT) AS code_points
+FROM d JOIN g USING (norm)""",
+    "op9_url_filters": r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, strpos(url, '://') > 0 AS ok,
+         translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa FROM pages),
+refs AS (
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>'),
+                             '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS ref FROM p WHERE ok
+  UNION ALL
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'),
+                             '(?is)content\s*=\s*["'']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) FROM p WHERE ok),
+target AS (
+  SELECT url, replace(ref, '&amp;', '&') AS ref, regexp_extract(url, '(?s)^(.*?):', 1) AS scheme,
+         regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) AS folder FROM refs WHERE ref <> ''),
+pair AS (
+  SELECT url AS a, CASE WHEN strpos(ref, '://') > 0 THEN ref WHEN starts_with(ref, '//') THEN scheme || ':' || ref
+         WHEN starts_with(ref, '/') THEN root || ref
+         ELSE root || (CASE WHEN folder = '' THEN '/' ELSE folder END) || ref END AS b FROM target),
+node AS (
+  SELECT u, translate(regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS n
+  FROM (SELECT a AS u FROM pair UNION SELECT b FROM pair)),
+edge AS (
+  SELECT x.n AS a, y.n AS b FROM pair JOIN node x ON pair.a = x.u JOIN node y ON pair.b = y.u WHERE x.n <> y.n
+  UNION SELECT y.n, x.n FROM pair JOIN node x ON pair.a = x.u JOIN node y ON pair.b = y.u WHERE x.n <> y.n),
+reach(a, b) AS (SELECT a, a FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+known AS (
+  SELECT n, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM (SELECT n, regexp_extract(n, '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(n, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa
+        FROM (SELECT DISTINCT n FROM node)) JOIN rules ON (h = rh OR ends_with(h, '.' || rh)) AND starts_with(pa, rp)
+  GROUP BY n),
+alias AS (SELECT a AS n, min(verdict) AS verdict FROM reach JOIN known ON reach.b = known.n GROUP BY a),
+own AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM p JOIN rules ON ok AND (h = rh OR ends_with(h, '.' || rh)) AND starts_with(pa, rp) GROUP BY page_id)
+SELECT p.page_id, CASE WHEN ok THEN h ELSE '' END AS host, CASE WHEN ok THEN pa ELSE '' END AS path, own.rule AS rule,
+       coalesce(own.verdict, alias.verdict, 'allow') AS verdict
+FROM p LEFT JOIN own ON own.page_id = p.page_id LEFT JOIN node ON node.u = p.url LEFT JOIN alias ON alias.n = node.n""",
+}
