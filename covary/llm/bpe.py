@@ -24,6 +24,8 @@ RARE_WS = WS.replace(" ", "").replace("\n", "")
 
 #: Units whose ids a Python worker keeps; beyond it the cache starts anew.
 CACHE_UNITS = 500_000
+#: Units longer than this are not kept.
+LONG_UNIT = 256
 #: Pre-tokens up to this many bytes are merged side by side, longer ones alone.
 WIDE = 64
 
@@ -253,8 +255,12 @@ class ByteBPE:
             new = set().union(*every)
         self.unit_ids(list(new), memo)
         known = memo.__getitem__
-        return [b"".join([np.uint32(self.special[p]).tobytes() if s else b"".join(map(known, p))
-                          for s, p in parts]) for parts in cut]
+        out = [b"".join([np.uint32(self.special[p]).tobytes() if s else b"".join(map(known, p))
+                         for s, p in parts]) for parts in cut]
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del memo[u]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, in UTF-8 (damaged sequences replaced)."""

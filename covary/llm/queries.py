@@ -82,13 +82,15 @@ FROM d JOIN g USING (norm)""",
 WITH RECURSIVE p AS (
   SELECT page_id, url, html, strpos(url, '://') > 0 AS ok,
          translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
-         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa FROM pages),
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS pa,
+         translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h0,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS tail FROM pages),
 refs AS (
-  SELECT url, regexp_extract(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>'),
-                             '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS ref FROM p WHERE ok
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                             '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS ref FROM p WHERE ok
   UNION ALL
-  SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'),
-                             '(?is)content\s*=\s*["'']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) FROM p WHERE ok),
+  SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                             '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) FROM p WHERE ok),
 target AS (
   SELECT url, replace(ref, '&amp;', '&') AS ref, regexp_extract(url, '(?s)^(.*?):', 1) AS scheme,
          regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root,
@@ -118,5 +120,5 @@ own AS (
   FROM p JOIN rules ON ok AND (h = rh OR ends_with(h, '.' || rh)) AND starts_with(pa, rp) GROUP BY page_id)
 SELECT p.page_id, CASE WHEN ok THEN h ELSE '' END AS host, CASE WHEN ok THEN pa ELSE '' END AS path, own.rule AS rule,
        coalesce(own.verdict, alias.verdict, 'allow') AS verdict
-FROM p LEFT JOIN own ON own.page_id = p.page_id LEFT JOIN node ON node.u = p.url LEFT JOIN alias ON alias.n = node.n""",
+FROM p LEFT JOIN own ON own.page_id = p.page_id LEFT JOIN alias ON alias.n = h0 || tail""",
 }

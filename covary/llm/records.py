@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covary.llm._common import col, saved, scratch_path, ship
-from covary.llm.bpe import blocks, texts_of
+from covary.llm.bpe import LONG_UNIT, PUNCTUATION, blocks, byte_characters, texts_of
 
 # The Castagnoli polynomial (reflected) and the mask that keeps
 # a stored checksum from being taken for data.
@@ -117,33 +119,80 @@ def unframe(stream, most: int = 8_000_000) -> Iterator[list[bytes]]:
             return
 
 
+# Pre-tokens of lower-case ASCII text: a fixed pattern of the vocabulary file.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+
+
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
 class LibraryIds:
     """Ids of whole texts by the ``tokenizers`` library. Texts are cut at
     single spaces, at which this vocabulary's pre-tokenizer always cuts and
-    which it drops; the library encodes each distinct piece once."""
+    which it drops; the library's model sees each distinct word once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = "<u2" if self.library.get_vocab_size() <= 65536 else "<u4"
+        self.code = "H" if self.type == "<u2" else "I"
+        self.stand_in = {b: c for c, b in byte_characters().items() if ord(c) != b}
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def pack(self, ids) -> bytes:
+        a = array(self.code, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a pre-token, given in the stand-in characters."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= CACHE_UNITS:
+                self.words.clear()
+            ids = self.pack([t.id for t in self.model.tokenize(word)])
+            if len(word) <= LONG_UNIT:
+                self.words[word] = ids
+        return ids
+
+    def piece_ids(self, piece: str) -> bytes:
+        word = piece.rstrip(PUNCTUATION)
+        if LATIN(word):  # letters, and punctuation that ends them
+            low = word.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.stand_in)
+            tail = piece[len(word):]
+            return self.word_ids(low) + self.word_ids(tail) if tail else self.word_ids(low)
+        if any(s in piece for s in self.special):
+            return self.pack(self.library.encode(piece, add_special_tokens=False).ids)
+        if piece.isascii():
+            words = ASCII_WORDS.findall(piece.lower())
+            if not piece.isprintable():
+                words = [w.translate(self.stand_in) for w in words]
+        else:
+            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(
+                self.library.normalizer.normalize_str(piece))]
+        return b"".join(map(self.word_ids, words))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if any(s in t for s in self.special if " " in s) else t.split(" ") for t in texts]
+        spaced = [s for s in self.special if " " in s]
+        cut = [[t] if spaced and any(s in t for s in spaced) else t.split(" ") for t in texts]
         memo = self.memo
         new = set().union(*[set(p).difference(memo) for p in cut])
         if len(memo) + len(new) > CACHE_UNITS:
             memo.clear()
             new = set().union(*cut)
-        todo = list(new)
-        for lo in range(0, len(todo), 20_000):
-            some = todo[lo:lo + 20_000]
-            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, dtype=self.type).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in cut]
+        for p in new:
+            memo[p] = self.piece_ids(p)
+        out = [b"".join(map(memo.__getitem__, p)) for p in cut]
+        for p in new:
+            if len(p) > LONG_UNIT:
+                del memo[p]
+        return out
 
 
 def library(path: str) -> LibraryIds:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from covary.llm._common import col, map_batches
-from covary.llm.bpe import ByteBPE, blocks, texts_of
+from covary.llm.bpe import LONG_UNIT, ByteBPE, blocks, texts_of
 
 #: Bounds of a Python worker's caches; beyond them they start anew.
 CACHE_UNITS = 300_000
@@ -124,8 +124,15 @@ class PrefixCounter:
             counts.clear()
             new = set(units)
         for u in new:
-            counts[u] = sum([self.word_count(w.encode("utf-8", "replace")) for w in self.bpe.pretokens(u)])
-        return list(map(counts.__getitem__, units))
+            counts[u] = self.unit_count(u)
+        out = list(map(counts.__getitem__, units))
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del counts[u]
+        return out
+
+    def unit_count(self, unit: str) -> int:
+        return sum([self.word_count(w.encode("utf-8", "replace")) for w in self.bpe.pretokens(unit)])
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
@@ -166,17 +173,43 @@ class PrefixTable:
                 j -= 1
             joined = "".join(self.units[j:k]) + head
             return self.tokens[j] + sum(self.counter.unit_counts(self.counter.bpe.units(joined)))
-        return self.tokens[k] + (sum(self.counter.unit_counts([head])) if head else 0)
+        return self.tokens[k] + self.counter.unit_count(head)
 
     def fit(self, budget: int) -> int:
         """The most characters whose tokens do not exceed ``budget``."""
         if self.total <= budget:
             return self.chars[-1]
         k = bisect_right(self.tokens, budget) - 1  # the first unit that ends beyond the budget
-        for chars in range(self.chars[k + 1] - 1, self.chars[k], -1):
-            if self.count(chars) <= budget:
-                return chars
-        return self.chars[k]
+        unit, at, left, c = self.units[k], self.chars[k], budget - self.tokens[k], self.counter
+        if k in self.special:
+            return max([n for n in range(len(unit)) if self.count(at + n) <= budget], default=0) + at
+        blank = len(unit) - len(unit.lstrip())
+        best, done = _within(c.prefixes(unit[:blank].encode()), unit[:blank], left), 0
+        for word in c.bpe.pretokens(unit):
+            n = c.word_count(word.encode("utf-8", "replace"))
+            if n > left:
+                if word.startswith("'") and len(word) <= 3:  # a cut contraction is none
+                    inside = max(m for m in range(len(word)) if self.count(at + done + m) <= budget)
+                else:
+                    inside = _within(c.prefixes(word.encode("utf-8", "replace")), word, left)
+                if done + inside > blank:
+                    best = max(best, done + inside)
+                break
+            left, done = left - n, done + len(word)
+            if done > blank:
+                best = max(best, done)
+        return at + best
+
+
+def _within(counts: list[int], word: str, budget: int) -> int:
+    """The most characters of ``word`` within a budget, given the counts of
+    its prefixes in bytes."""
+    best = size = 0
+    for k, ch in enumerate(word, 1):
+        size += len(ch.encode("utf-8", "replace"))
+        if counts[size] <= budget:
+            best = k
+    return best
 
 
 def counter(path: str) -> PrefixCounter:

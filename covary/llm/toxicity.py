@@ -39,6 +39,8 @@ THRESHOLD = 0.3
 #: Characters on each side of a hit that make its context.
 CONTEXT = 60
 CACHE_WORDS = 400_000
+#: Words longer than this are not kept.
+LONGEST_WORD = 64
 MOST_STATES = 100_000
 
 WORD = re.compile(r"\w+")
@@ -160,6 +162,8 @@ class Matcher:
         self.known: dict[str, tuple[int, int, int] | None] = {}
 
     def hit(self, word: str) -> tuple[int, int, int] | None:
+        if len(word) > LONGEST_WORD:
+            return self.lexicon.match(word)
         if word not in self.known:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
