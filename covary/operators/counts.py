@@ -76,7 +76,11 @@ def category_map(counts: DataFrame, group: Cols, period: str, name: str = "n",
     distinct categories, not by the number of events.
     """
     keys = [*as_list(group), period]
-    entry = F.struct(F.concat_ws(":", "dimension", F.coalesce("category", F.lit(NULL_LABEL)))
+    # a label that looks like the one for NULL, or has a colon, is escaped, so
+    # that different categories never meet under one key
+    label = F.regexp_replace(F.col("category"), r"([\\:]|^\(null\)$)", r"\\$1")
+    entry = F.struct(F.concat_ws(":", F.regexp_replace("dimension", r"([\\:])", r"\\$1"),
+                                 F.coalesce(label, F.lit(NULL_LABEL)))
                      .alias("key"), F.col(name).cast("bigint").alias("value"))
     per = counts.groupBy(*keys).agg(F.collect_list(entry).alias("__e"),
                                     F.first(total).alias("__t"))
@@ -103,26 +107,46 @@ def pivot_counts(df: DataFrame, period: str, category: str,
     """Period x category matrix of event counts, zero-filled.
 
     Long counts are computed first (partial aggregation), then pivoted; a
-    NULL category becomes the column ``(null)``. Pass ``values`` when the
-    categories are known to skip the job that discovers them.
+    NULL category becomes the column ``(null)``, and a category of that name
+    gets an underscore. Without ``values`` a job looks up the
+    categories, one column each, while the frame is built; pass them when
+    they are known.
     """
-    cat = F.coalesce(F.col(category).cast("string"), F.lit(NULL_LABEL)).alias(category)
+    text = F.col(category).cast("string")
+    # only a label that could be taken for that of NULL gets an underscore
+    label = F.when(text.rlike(r"^\(null\)_*$"), F.concat(text, F.lit("_"))).otherwise(text)
+    cat = F.coalesce(label, F.lit(NULL_LABEL)).alias(category)
     long = df.select(period, cat).groupBy(period, category).agg(F.count(F.lit(1)).alias(name))
     pivoted = long.groupBy(period).pivot(category, list(values) if values else None).agg(F.sum(name))
-    value_cols = [c for c in pivoted.columns if c != period]
-    return pivoted.fillna(fill, subset=value_cols)
+    return _filled(pivoted, period, fill)
+
+
+def _filled(wide: DataFrame, period: str, fill: int) -> DataFrame:
+    """NULL cells of a pivot as ``fill``, whatever the categories are called
+    (a dot in a name is part of the name)."""
+    return wide.select(*[F.col(_q(c)) if c == period else F.coalesce(F.col(_q(c)), F.lit(fill)).alias(c)
+                         for c in wide.columns])
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def zero_filled_cells(cells: DataFrame, period: str, category: str, value: str,
                       values: Sequence[str] | None = None) -> DataFrame:
     """Long (period, category, value) rows over the full period x category
     grid of ``cells``, missing cells as 0 -- the long form of a zero-filled
-    pivot. The grid is built by pivoting (one row per period), never by a
-    cross join; its width is the number of categories."""
-    wide = cells.groupBy(period).pivot(category, list(values) if values else None).agg(F.sum(value))
-    cats = [c for c in wide.columns if c != period]
-    wide = wide.fillna(0, subset=cats)
-    return wide.unpivot([period], [F.col(f"`{c}`").alias(c) for c in cats], category, value)
+    pivot. Each category takes the array of all periods (one scalar subquery,
+    as long as the calendar) and the cells are joined to that, so any number
+    of categories will do and none is looked up on the driver."""
+    if values is not None:
+        cells = cells.filter(F.col(category).isin(list(values)))
+    long = cells.groupBy(period, category).agg(F.sum(value).alias(value))
+    periods = cells.agg(F.collect_set(F.struct(period)).alias("p")).scalar()
+    grid = cells.select(category).distinct().select(category, F.explode(periods).alias("__p")).select(
+        F.col(f"__p.{period}").alias(period), category)
+    out = null_safe_join(grid, long, [period, category], "left")
+    return out.select(period, category, F.coalesce(value, F.lit(0)).alias(value))
 
 
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:

@@ -31,7 +31,10 @@ def with_indicator(df: DataFrame, indicator: DataFrame, on: Cols,
     out = null_safe_join(df, ind, keys, how)
     if fill is not None:
         value_cols = [c for c in indicator.columns if c not in keys]
-        out = out.fillna(fill, subset=value_cols)
+        names = {c.lower() for c in value_cols}
+        out = out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fill).cast(t)).alias(c)
+                           if c.lower() in names and t not in ("string", "boolean", "date", "timestamp") else F.col(f"`{c}`")
+                           for c, t in out.dtypes])
     return out
 
 
@@ -45,8 +48,9 @@ def code_ranges(df: DataFrame, code: str | Column, ranges: Sequence[tuple],
     are exploded, so there is neither a join nor a shuffle of the facts.
     Overlapping ranges give one row per matching range.
     """
-    rows = [(int(r[0]), int(r[1]), str(r[2]) if len(r) > 2 else f"{r[0]}-{r[1]}")
-            for r in ranges]
+    # bounds as given: one type for all, fractions kept
+    kind = int if all(float(b).is_integer() for r in ranges for b in r[:2]) else float
+    rows = [(kind(r[0]), kind(r[1]), str(r[2]) if len(r) > 2 else f"{r[0]}-{r[1]}") for r in ranges]
     c = F.col(code) if isinstance(code, str) else code
     hits = []
     for lo, hi, label in rows:
@@ -55,7 +59,9 @@ def code_ranges(df: DataFrame, code: str | Column, ranges: Sequence[tuple],
         hits.append(F.when(lo_ok & hi_ok, F.struct(F.lit(lo).alias("range_lo"), F.lit(hi).alias("range_hi"),
                                                    F.lit(label).alias("range_label"))))
     cols = [F.col(f"`{n}`") for n in df.columns]
-    out = df.select(*cols, F.explode(F.array(*hits)).alias("__rng")).filter(F.col("__rng").isNotNull())
+    # ranges that do not fit are dropped before the rows are copied
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    out = df.select(*cols, F.explode(found).alias("__rng"))
     return out.select(*cols, "__rng.range_lo", "__rng.range_hi", "__rng.range_label")
 
 
@@ -99,12 +105,30 @@ def _auto_cell_deg(cen: DataFrame) -> float:
     return min(10.0, max(1e-3, 2.0 * math.sqrt(area / row["n"])))
 
 
+def _split_deg(cen: DataFrame, cell_deg: float, most: int = 32, halvings: int = 12) -> float:
+    """The largest of ``cell_deg, cell_deg / 2, ...`` whose fullest cell holds
+    ``most`` centroids at most (the smallest if none does); one row per size
+    is read on the driver."""
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(halvings))).alias("k")
+    g = F.lit(float(cell_deg)) / F.pow(F.lit(2.0), F.col("k"))
+    cells = (cen.select("__clat", "__clon").distinct().select("__clat", "__clon", sizes)
+                .groupBy("k", F.floor(F.col("__clat") / g).alias("y"), F.floor(F.col("__clon") / g).alias("x"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    rows = sorted((r["k"], r["n"]) for r in cells.groupBy("k").agg(F.max("n").alias("n")).collect())
+    good = [k for k, n in rows if n <= most]
+    return float(cell_deg) / 2 ** (good[0] if good else halvings)
+
+
 def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
                  area_key: str, lat: str = "lat", lon: str = "lon",
                  cell_deg: float | str = 0.05, checkpoint: bool = True) -> DataFrame:
     """Exact nearest centroid (haversine) for every point, as an equi-join.
 
-    Rows with a NULL coordinate are dropped. Space is cut into cells of
+    Rows with a NULL or NaN coordinate are dropped. The search runs over the
+    distinct coordinates, so keys may repeat or be NULL and a coordinate that
+    very many points share is one point; its result is joined back to the
+    rows. The first cells are halved until the fullest holds few centroids,
+    so a dense cluster is no product of all pairs. Space is cut into cells of
     ``g`` degrees (``360 / g`` an integer, longitude wraps). A point meets
     the centroids of its own and the 8 neighbouring cells; the best of them
     is certainly the nearest when its distance is at most the distance from
@@ -126,14 +150,18 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
     checkpointed to the session's reliable checkpoint folder, which cuts
     the lineage of the loop.
     """
-    pts = (points.na.drop(subset=[lat, lon])
-                 .select(point_key, F.col(lat).cast("double").alias("__plat"),
-                         F.col(lon).cast("double").alias("__plon")))
-    cen = (centroids.na.drop(subset=[lat, lon])
-                    .select(area_key, F.col(lat).cast("double").alias("__clat"),
-                            F.col(lon).cast("double").alias("__clon")))
+    def placed(df, key, y, x):
+        a, b = F.col(lat).cast("double") + F.lit(0.0), F.col(lon).cast("double") + F.lit(0.0)
+        return (df.select(F.col(key), a.alias(y), b.alias(x))
+                  .filter(F.col(y).isNotNull() & F.col(x).isNotNull() & ~F.isnan(y) & ~F.isnan(x)))
+
+    rows = placed(points, point_key, "__plat", "__plon")
+    here = ["__plat", "__plon"]
+    pts = rows.select(*here).distinct()
+    cen = placed(centroids, area_key, "__clat", "__clon")
     if cell_deg == "auto":
         cell_deg = _auto_cell_deg(cen)
+    cell_deg = _split_deg(cen, float(cell_deg))
     n0 = max(4, int(math.ceil(360.0 / float(cell_deg))))
     levels = []
     nlon = n0
@@ -149,7 +177,7 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
         g = 360.0 / nlon
         last = nlon <= 3
         py, px = _cells(F.col("__plat"), F.col("__plon"), g, nlon)
-        probe = pending.select(point_key, "__plat", "__plon", py.alias("__cy"), px.alias("__cx"))
+        probe = pending.select(*here, py.alias("__cy"), px.alias("__cx"))
         # A point meets a centroid when their cells are neighbours; the relation
         # is symmetric, so the centroids (the small side) are copied into the 9
         # cells around their own and the points stay one row each.
@@ -162,7 +190,7 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
                             F.col("__cell.__cx").alias("__cx")))
         cand = probe.join(keyed, ["__cy", "__cx"], "inner")
         dist = haversine_km("__plat", "__plon", "__clat", "__clon")
-        best = (cand.groupBy(point_key, "__plat")
+        best = (cand.groupBy(*here)
                     .agg(F.min(F.struct(dist.alias("dist_km"), F.col(area_key).alias(area_key)))
                          .alias("__best")))
         if checkpoint and not last:
@@ -175,11 +203,11 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
             lon_bound = F.asin(F.cos(F.col("__plat") * F.lit(DEG2RAD)) * F.lit(math.sin(g_rad)))
             bound = F.lit(EARTH_RADIUS_KM) * F.least(F.lit(g_rad), lon_bound)
             certified = best.filter(F.col("__best.dist_km") <= bound)
-        done.append(certified.select(point_key, F.col(f"__best.{area_key}").alias(area_key),
+        done.append(certified.select(*here, F.col(f"__best.{area_key}").alias(area_key),
                                      F.col("__best.dist_km").alias("dist_km")))
         if last:
             break
-        pending = pending.join(certified.select(point_key), point_key, "left_anti")
+        pending = pending.join(certified.select(*here), here, "left_anti")
         if checkpoint:
             pending = materialize(pending)
             if pending.isEmpty():
@@ -187,4 +215,4 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return rows.join(out, here, "inner").select(point_key, area_key, "dist_km")

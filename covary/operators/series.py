@@ -25,11 +25,10 @@ def lag_features(df: DataFrame, series: Cols, order: str, col: str,
     months."""
     prefix = prefix or col
     w = Window.partitionBy(*as_list(series)).orderBy(order)
-    out = df.withColumn(f"{prefix}_0", F.coalesce(F.col(col).cast("double"), F.lit(float(fill))))
-    for i in lags:
-        out = out.withColumn(f"{prefix}_{i}",
-                             F.coalesce(F.lag(F.col(col).cast("double"), i).over(w), F.lit(float(fill))))
-    return out
+    value = F.col(col).cast("double")
+    # added in one projection: one window node for all lags
+    return df.withColumns({f"{prefix}_0": F.coalesce(value, F.lit(float(fill)))}
+                          | {f"{prefix}_{i}": F.coalesce(F.lag(value, i).over(w), F.lit(float(fill))) for i in lags})
 
 
 def chronological_split(df: DataFrame, series: Cols, order: str, frac: float = 0.8,
@@ -48,14 +47,14 @@ def min_max_scale(df: DataFrame, by: Cols, cols: Sequence[str], lo: float = -1.0
     """Scale columns to ``[lo, hi]`` within each group; a constant column
     maps to ``lo``."""
     w = Window.partitionBy(*as_list(by))
-    out = df
+    out = {}
     for c in cols:
         x = F.col(c).cast("double")
         mn, mx = F.min(x).over(w), F.max(x).over(w)
         span = mx - mn
         scaled = F.lit(float(lo)) + (x - mn) * F.lit(float(hi - lo)) / span
-        out = out.withColumn(f"{c}{suffix}", F.when(span > 0, scaled).otherwise(F.lit(float(lo))))
-    return out
+        out[f"{c}{suffix}"] = F.when(span > 0, scaled).otherwise(F.lit(float(lo)))
+    return df.withColumns(out)
 
 
 def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
@@ -68,7 +67,9 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
     (features, y) over the training rows: grouped aggregates give them for
     all series. The small solve (p x p, p = number of features) runs in
     ``mapInPandas`` over those moment rows, one row per series. Holdout rows are scored by a join with
-    the coefficients. Returns ``series, n_train, n_test, mse, b_*``.
+    the coefficients. Returns ``series, n_train, n_test, mse, b_*``: one row
+    per series, a NULL key among them; a series without training rows has NULL
+    coefficients and error.
     """
     keys = as_list(series)
     split = chronological_split(df, keys, order, frac)
@@ -78,7 +79,11 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
         split = materialize(split)
     names = ["intercept", *features]
     yc = F.col(y).cast("double")
-    train = split.filter("is_train")
+    # a row without a value or a feature takes part in neither fit nor score
+    full = yc.isNotNull()
+    for f in features:
+        full = full & F.col(f).isNotNull()
+    train = split.filter(F.col("is_train") & full)
     # Centre on the per-series training means first: lagged indicators are
     # large and nearly collinear, and centred cross-products keep the normal
     # equations well conditioned. The intercept follows from the means.
@@ -94,7 +99,8 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
         aggs.append(F.sum(xs[i] * ys).alias(f"__xy_{i}"))
         for j in range(i, len(xs)):
             aggs.append(F.sum(xs[i] * xs[j]).alias(f"__xx_{i}_{j}"))
-    mom = tc.groupBy(*keys).agg(*aggs)
+    # a series without a training row keeps its place, with no coefficients
+    mom = null_safe_join(split.select(*keys).distinct(), tc.groupBy(*keys).agg(*aggs), keys, "left").fillna(0, ["n_train"])
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in mom.schema.fields if f.name in keys)
     out_schema = f"{key_schema}, n_train bigint, " + ", ".join(f"b_{n} double" for n in names)
@@ -113,7 +119,9 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
                 for j in range(i, p):
                     xtx[:, i, j] = xtx[:, j, i] = pdf[f"__xx_{i}_{j}"].to_numpy(dtype=float)
             xty = np.stack([pdf[f"__xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
-            coef = np.einsum("mij,mj->mi", np.linalg.pinv(xtx), xty) if m else np.empty((0, p))
+            coef, known = np.full((m, p), np.nan), np.isfinite(xtx).all(axis=(1, 2)) & np.isfinite(xty).all(axis=1)
+            if known.any():
+                coef[known] = np.einsum("mij,mj->mi", np.linalg.pinv(xtx[known]), xty[known])
             mx = np.stack([pdf[f"__m{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
             intercept = pdf["__my"].to_numpy(dtype=float) - (coef * mx).sum(axis=1)
             out = pdf[keys + ["n_train"]].copy()
@@ -123,11 +131,11 @@ def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
             yield out
 
     coef = mom.mapInPandas(solve, out_schema)
-    test = split.filter(~F.col("is_train"))
+    test = split.filter(~F.col("is_train") & full)
     pred = F.col("b_intercept")
     for f in features:
         pred = pred + F.col(f"b_{f}") * F.col(f).cast("double")
-    scored = test.join(coef, keys, "inner").withColumn("__err", (pred - yc) * (pred - yc))
+    scored = null_safe_join(test, coef, keys, "inner").withColumn("__err", (pred - yc) * (pred - yc))
     errs = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg("__err").alias("mse"))
-    return coef.join(errs, keys, "left").select(*keys, "n_train", F.coalesce("n_test", F.lit(0)).alias("n_test"),
+    return null_safe_join(coef, errs, keys, "left").select(*keys, "n_train", F.coalesce("n_test", F.lit(0)).alias("n_test"),
                                                 "mse", *[f"b_{n}" for n in names])

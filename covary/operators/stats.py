@@ -53,15 +53,24 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
     periods. Work is proportional to the non-zero cells.
 
     ``center`` subtracts the frame mean of the dense value first (better
-    rounding for large values). Leave it off for integer counts: the sums are
-    then exact. Categories seen only in periods outside ``dense`` get zero
+    rounding for large values). Integer counts are summed in DECIMAL, whose
+    result does not depend on the order of the rows and loses no digit: those
+    of the sparse value always, those of the dense value if ``center`` is
+    off. Categories seen only in periods outside ``dense`` get zero
     sums. ``dense_role`` says whether the dense value is the regression's
     ``x`` or ``y``.
     """
     fk = as_list(frame)
     cats = as_list(category)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    exact_s = dict(sparse.dtypes)[sparse_value] in whole
+    exact_d = exact_s and not center and dict(dense.dtypes)[dense_value] in whole
+
+    def number(c, exact):
+        return F.col(c).cast("decimal(18,0)" if exact else "double")
+
     # a period whose dense value is NULL is no pair at all (as in regr_*)
-    d = (dense.select(*fk, period, F.col(dense_value).cast("double").alias("__d"))
+    d = (dense.select(*fk, period, number(dense_value, exact_d).alias("__d"))
               .filter(F.col("__d").isNotNull()))
     if center and fk:
         mu = d.groupBy(*fk).agg(F.avg("__d").alias("__mu"))
@@ -75,13 +84,14 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
         d = d.withColumn("__mu", F.lit(0.0))
     dense_aggs = [F.count(F.lit(1)).alias("n"), F.sum("__d").alias("__sd"),
                   F.sum(F.col("__d") * F.col("__d")).alias("__sdd"), F.first("__mu").alias("__mu")]
-    s = sparse.select(*fk, period, *cats, F.col(sparse_value).cast("double").alias("__s"))
+    s = sparse.select(*fk, period, *cats, number(sparse_value, exact_s).alias("__s"))
     cells = null_safe_join(s, d.select(*fk, period, "__d"), [*fk, period], "left")
     inside = F.col("__d").isNotNull()
     cstat = cells.groupBy(*fk, *cats).agg(
-        F.coalesce(F.sum(F.when(inside, F.col("__s"))), F.lit(0.0)).alias("__ss"),
-        F.coalesce(F.sum(F.when(inside, F.col("__s") * F.col("__s"))), F.lit(0.0)).alias("__sss"),
-        F.coalesce(F.sum(F.col("__s") * F.col("__d")), F.lit(0.0)).alias("__ssd"))
+        F.coalesce(F.sum(F.when(inside, F.col("__s"))), F.lit(0)).alias("__ss"),
+        F.coalesce(F.sum(F.when(inside, F.col("__s") * F.col("__s"))), F.lit(0)).alias("__sss"),
+        F.coalesce(F.sum((F.col("__s") if exact_d else F.col("__s").cast("double")) * F.col("__d")),
+                   F.lit(0)).alias("__ssd"))
     if fk:
         m = null_safe_join(cstat, d.groupBy(*fk).agg(*dense_aggs), fk)
     else:
@@ -89,11 +99,20 @@ def zero_filled_moments(dense: DataFrame, sparse: DataFrame, frame: Cols | None,
         stats = d.agg(F.struct(*dense_aggs).alias("s")).scalar()
         m = cstat.select("*", *[stats.getField(c).alias(c) for c in ("n", "__sd", "__sdd", "__mu")])
     n = F.col("n").cast("double")
-    sdd = F.col("__sdd") - F.col("__sd") * F.col("__sd") / n
-    sss = F.col("__sss") - F.col("__ss") * F.col("__ss") / n
-    ssd = F.col("__ssd") - F.col("__ss") * F.col("__sd") / n
-    mean_d = F.col("__mu") + F.col("__sd") / n
-    mean_s = F.col("__ss") / n
+
+    def centred(square, a, b, exact):
+        # n * sum(ab) - sum(a) * sum(b), rounded once
+        if exact:
+            big = "decimal(38,0)"
+            return (F.col("n").cast("decimal(12,0)").cast(big) * F.col(square).cast(big)
+                    - F.col(a).cast(big) * F.col(b).cast(big)).cast("double") / n
+        return F.col(square).cast("double") - F.col(a).cast("double") * F.col(b).cast("double") / n
+
+    sdd = centred("__sdd", "__sd", "__sd", exact_d)
+    sss = centred("__sss", "__ss", "__ss", exact_s)
+    ssd = centred("__ssd", "__ss", "__sd", exact_d)
+    mean_d = F.col("__mu") + F.col("__sd").cast("double") / n
+    mean_s = F.col("__ss").cast("double") / n
     if dense_role == "y":
         out = [mean_s.alias("mean_x"), mean_d.alias("mean_y"), sss.alias("sxx"),
                sdd.alias("syy"), ssd.alias("sxy")]
@@ -128,13 +147,15 @@ def elastic_net_1d(mom: DataFrame, reg: float = 0.3, mix: float = 0.8) -> DataFr
     standardisation, for a single feature: with population deviations
     ``sx, sy`` and ``e = reg / sy`` the standardised coefficient is the
     soft-thresholded correlation ``sign(r) max(|r| - mix e, 0) / (1 + (1-mix) e)``.
-    A constant feature or label gives slope 0 and intercept ``mean_y``.
+    A constant feature or label gives slope 0 and intercept ``mean_y``; a
+    group without pairs gives slope 0 and NULL in the other columns.
     Adds ``slope, intercept, rss, rmse, r2``.
     """
     n = F.col("n").cast("double")
     sxx, syy, sxy = F.col("sxx"), F.col("syy"), F.col("sxy")
-    sx = F.sqrt(sxx / n)
-    sy = F.sqrt(syy / n)
+    # a group without any pair has n = 0 and NULL sums: nothing is divided
+    sx = F.sqrt(safe_div(sxx, n))
+    sy = F.sqrt(safe_div(syy, n))
     r = sxy / F.sqrt(sxx * syy)
     e = F.lit(float(reg)) / sy
     shrunk = F.signum(r) * F.greatest(F.abs(r) - F.lit(float(mix)) * e, F.lit(0.0)) \
@@ -142,9 +163,10 @@ def elastic_net_1d(mom: DataFrame, reg: float = 0.3, mix: float = 0.8) -> DataFr
     slope = F.when((sxx > 0) & (syy > 0), shrunk * sy / sx).otherwise(F.lit(0.0))
     with_slope = mom.withColumn("slope", slope)
     b = F.col("slope")
-    rss = F.greatest(F.lit(0.0), syy - F.lit(2.0) * b * sxy + b * b * sxx)
+    rss = F.when(sxx.isNotNull() & syy.isNotNull(),
+                 F.greatest(F.lit(0.0), syy - F.lit(2.0) * b * sxy + b * b * sxx))
     fitted = with_slope.withColumns({"intercept": F.col("mean_y") - b * F.col("mean_x"), "rss": rss})
-    return fitted.withColumns({"rmse": F.sqrt(F.col("rss") / n),
+    return fitted.withColumns({"rmse": F.sqrt(safe_div(F.col("rss"), n)),
                                "r2": F.when(syy > 0, F.lit(1.0) - F.col("rss") / syy)})
 
 
@@ -174,7 +196,9 @@ def slope_test(fit: DataFrame, n_coeffs: int = 1, alpha: float = 0.05,
     ``t = slope / se``, two-sided p from Student-t, Bonferroni-corrected level
     ``alpha / n_coeffs``. ``significant`` is true when ``p <= level``;
     ``verdict`` reads 'reject null' (the slope matters) or 'accept null'.
-    Rows with ``dof < 1`` or a zero standard error are not testable (NULL).
+    A perfect fit (zero standard error, slope not 0) has an infinite t, shown
+    as NULL, and p = 0. Rows with ``dof < 1``, and a slope of 0 with a zero
+    standard error, are not testable (NULL).
     ``sxx_damping`` (e.g. 1e9) reproduces a damped variant that shrinks the
     standard error; it is off by default.
     """
@@ -183,7 +207,9 @@ def slope_test(fit: DataFrame, n_coeffs: int = 1, alpha: float = 0.05,
     level = float(alpha) / n_coeffs
     out = fit.withColumns({"dof": dof, "std_err": F.when(dof >= 1, se)})
     out = out.withColumn("t_stat", safe_div(F.col("slope"), F.col("std_err")))
-    out = out.withColumns({"p_value": t_two_sided_p(F.col("t_stat"), F.col("dof")),
+    perfect = (F.col("std_err") == 0) & (F.col("slope") != 0)
+    out = out.withColumns({"p_value": F.when(perfect, F.lit(0.0)).otherwise(
+                               t_two_sided_p(F.col("t_stat"), F.col("dof"))),
                            "alpha": F.lit(level)})
     p = F.col("p_value")
     return out.withColumns({

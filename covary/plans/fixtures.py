@@ -39,8 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exact_mean(col: str) -> F.Column:
-    """Mean of a two-decimal money column, summed exactly."""
-    return F.sum(F.col(col).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+    """Mean of the values that are not NULL, summed exactly (DECIMAL with
+    eight decimals, beyond what money carries)."""
+    return F.try_divide(F.sum(F.col(col).cast("decimal(26,8)")).cast("double"), F.count(F.col(col)))
 
 
 def fact_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,14 @@ def monthly_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(exact_mean("o_totalprice").alias("indicator")))
 
 
+def ship_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(period DATE, indicator DOUBLE): mean line price per *ship* month, a
+    calendar that reaches beyond that of the orders."""
+    return (table(spark, sf_dir, "lineitem")
+            .groupBy(month_start("l_shipdate").alias("period"))
+            .agg(exact_mean("l_extendedprice").alias("indicator")))
+
+
 def yearly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year INT, bucket INT, share DOUBLE)."""
     counts = (fact_b(spark, sf_dir)
@@ -87,12 +96,15 @@ def area_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_FACT_A = "lineitem JOIN part ON l_partkey = p_partkey"
 SQL_FACT_A_AREAS = SQL_FACT_A + " JOIN supplier ON l_suppkey = s_suppkey"
 SQL_IND = ("ind AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, "
-           "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS indicator "
+           "CAST(SUM(CAST(o_totalprice AS DECIMAL(26,8))) AS DOUBLE) / COUNT(o_totalprice) AS indicator "
            "FROM orders GROUP BY 1)")
+SQL_SHIP_IND = ("ind AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS period, "
+                "CAST(SUM(CAST(l_extendedprice AS DECIMAL(26,8))) AS DOUBLE) / COUNT(l_extendedprice) AS indicator "
+                "FROM lineitem GROUP BY 1)")
 SQL_PANEL = ("panel AS (SELECT year, bucket, n / SUM(n) OVER (PARTITION BY year) AS share FROM "
              "(SELECT CAST(year(o_orderdate) AS INTEGER) AS year, "
              "TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS bucket, COUNT(*) AS n "
              "FROM orders GROUP BY 1, 2))")
 SQL_AREA = ("area_cost AS (SELECT c_nationkey AS area, "
-            "CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS cost "
+            "CAST(SUM(CAST(c_acctbal AS DECIMAL(26,8))) AS DOUBLE) / COUNT(c_acctbal) AS cost "
             "FROM customer GROUP BY 1)")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covary.functions import (
@@ -141,9 +141,9 @@ FROM s4 WHERE p_value < 0.05
 def q_category_screen(spark, sf):
     res = category_screen(_fact_a_keys(spark, sf), "p_brand", "period", fx.DIMS_A, top=10, max_p=0.05)
     # within a group, most significant first (p, then r), as the reference reports them
-    return (res.select("p_brand", "dimension", "category", "n", "k", rs("slope"), rs("t_stat"),
-                       r("p_value"), r("corr"))
-               .orderBy("p_brand", "p_value", "corr"))
+    return (res.orderBy("p_brand", "p_value", "corr")  # by the value itself, not the rounded one
+               .select("p_brand", "dimension", "category", "n", "k", rs("slope"), rs("t_stat"),
+                       r("p_value"), r("corr")))
 
 
 # --------------------------------------------------------------------------
@@ -266,13 +266,14 @@ def q_sanitized_pivot(spark, sf):
 
 
 @query("pivot_indicator_join", f"""
-WITH {fx.SQL_IND}, pv AS ({_pivot_sql(True)})
+WITH {fx.SQL_SHIP_IND}, pv AS ({_pivot_sql(True)})
 SELECT pv.*, {S.rnd('ind.indicator', 6)} AS indicator FROM pv JOIN ind ON pv.period = ind.period
 """)
 def q_pivot_indicator_join(spark, sf):
-    cells, ind = _fb_cells_dense(spark, sf)   # one pass over the orders
+    cells, ind = _fb_cells_dense(spark, sf)
     wide = cells.groupBy("period").pivot("category").agg(F.sum("n"))
-    wide = sanitize_columns(wide.fillna(0, subset=[c for c in wide.columns if c != "period"]))
+    wide = sanitize_columns(wide.select("period", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c)
+                                                    for c in wide.columns if c != "period"]))
     return wide.join(ind, "period", "inner").withColumn("indicator", rounded("indicator", 6))
 
 
@@ -394,7 +395,7 @@ def q_indicator_corr(spark, sf):
 
 
 SQL_FB_GRID = f"""
-{fx.SQL_IND},
+{fx.SQL_SHIP_IND},
 cells AS (SELECT o_orderpriority AS category, {S.month('o_orderdate')} AS period, COUNT(*) AS n FROM orders GROUP BY 1, 2),
 dense AS (SELECT ind.period, ind.indicator FROM ind WHERE period IN (SELECT period FROM cells)),
 cats AS (SELECT DISTINCT category FROM cells),
@@ -407,16 +408,13 @@ mom AS (SELECT category, {S.moments('n', 'indicator')} FROM grid GROUP BY catego
 
 def _fb_cells_dense(spark, sf):
     fb = fx.fact_b(spark, sf)
-    # one pass over the orders gives both the counts per (category, month) and
-    # the exact price sums from which the monthly indicator follows
     cells = (fb.groupBy(F.col("o_orderpriority").alias("category"), month_start("o_orderdate").alias("period"))
-               .agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("__price")))
+               .agg(F.count(F.lit(1)).alias("n")))
     # months x categories rows, read by several branches: written once
     cells = materialize(cells)
-    dense = cells.groupBy("period").agg(
-        (F.sum("__price").cast("double") / F.sum("n")).alias("indicator"))
-    return cells.select("category", "period", "n"), dense
+    # an indicator of its own calendar; only months with orders are observed
+    dense = fx.ship_indicator(spark, sf).join(cells.select("period").distinct(), "period", "left_semi")
+    return cells, dense
 
 
 def _fb_moments(spark, sf):
@@ -427,12 +425,15 @@ def _fb_moments(spark, sf):
 
 @query("category_indicator_corr", f"""
 WITH {SQL_FB_GRID}
-SELECT category, n, {S.rnd(S.corr())} AS corr FROM mom
+SELECT category, n, corr, CAST(row_number() OVER (ORDER BY corr DESC NULLS LAST, category) AS INTEGER) AS rank
+FROM (SELECT category, n, {S.rnd(S.corr())} AS corr FROM mom)
 """)
 def q_category_indicator_corr(spark, sf):
     mom = _fb_moments(spark, sf)
+    order = [F.col("corr").desc_nulls_last(), F.col("category")]
+    # one row per category: the rank needs no partition
     return (mom.select("category", "n", rounded(correlation_expr(), 8).alias("corr"))
-               .orderBy(F.col("corr").desc_nulls_last(), "category"))
+               .withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank"))
 
 
 SQL_YEAR_CASES = """
@@ -484,8 +485,10 @@ SELECT range_lo, range_hi, bucket, CAST(regr_count(share, case_count) AS BIGINT)
 FROM j GROUP BY ALL
 """)
 def q_code_range_corr(spark, sf):
-    fa = fx.fact_a(spark, sf).select("p_size", "l_shipdate")
-    hits = code_ranges(fa, "p_size", CODE_RANGES)
+    # the ranges pick parts before the facts are joined
+    codes = code_ranges(fx.table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", CODE_RANGES)
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_shipdate")
+    hits = li.join(codes, li.l_partkey == codes.p_partkey, "inner")
     cases = period_counts(hits, ["range_lo", "range_hi", F.year("l_shipdate").alias("year")], "case_count")
     panel = fx.yearly_panel(spark, sf).filter(F.col("bucket").isin(1, 5))
     j = cases.join(panel, "year", "inner")
@@ -663,10 +666,12 @@ def q_bucket_slope_test(spark, sf):
 
 @query("category_slope_tests", f"""
 WITH {SQL_FB_GRID}, {S.fit_select()}, {S.test_select()}
-SELECT category, {SQL_TEST_OUT} FROM tested
+SELECT category, {S.rnd(S.corr())} AS corr, {SQL_TEST_OUT} FROM tested
 """)
 def q_category_slope_tests(spark, sf):
-    return _tested(["category"], slope_test(elastic_net_1d(_fb_moments(spark, sf))))
+    tested = slope_test(elastic_net_1d(_fb_moments(spark, sf)))
+    return _tested(["category", rounded(correlation_expr(), 8).alias("corr")], tested).orderBy(
+        F.col("corr").desc_nulls_last(), "category")
 
 
 # --------------------------------------------------------------------------

@@ -90,7 +90,8 @@ def fit_select(reg: float = 0.3, mix: float = 0.8) -> str:
     """Wraps a moments relation ``mom`` into ``fit`` with the elastic-net columns."""
     return (f"fit0 AS (SELECT *, {elastic_net(reg, mix)} AS slope FROM mom), "
             "fit AS (SELECT *, mean_y - slope * mean_x AS intercept, "
-            "greatest(0.0::DOUBLE, syy - 2.0::DOUBLE * slope * sxy + slope * slope * sxx) AS rss FROM fit0)")
+            "CASE WHEN sxx IS NOT NULL AND syy IS NOT NULL THEN "
+            "greatest(0.0::DOUBLE, syy - 2.0::DOUBLE * slope * sxy + slope * slope * sxx) END AS rss FROM fit0)")
 
 
 def test_select(n_coeffs: int = 1, alpha: float = 0.05, damping: float = 0.0) -> str:
@@ -100,7 +101,8 @@ def test_select(n_coeffs: int = 1, alpha: float = 0.05, damping: float = 0.0) ->
           f"THEN sqrt(greatest(0.0::DOUBLE, rss / ((n - {n_coeffs + 1})::DOUBLE * (sxx + {float(damping)!r}::DOUBLE)))) END")
     return (f"t0 AS (SELECT *, n - {n_coeffs + 1} AS dof, {se} AS std_err FROM fit), "
             "t1 AS (SELECT *, CASE WHEN std_err <> 0 THEN slope / std_err END AS t_stat FROM t0), "
-            f"t2 AS (SELECT *, {t_two_sided('t_stat', 'dof')} AS p_value FROM t1), "
+            f"t2 AS (SELECT *, CASE WHEN std_err = 0 AND slope <> 0 THEN 0.0::DOUBLE "
+            f"ELSE {t_two_sided('t_stat', 'dof')} END AS p_value FROM t1), "
             f"tested AS (SELECT *, {level!r}::DOUBLE AS alpha, "
             f"CASE WHEN p_value IS NOT NULL THEN p_value <= {level!r}::DOUBLE END AS significant, "
             f"CASE WHEN p_value IS NULL THEN 'not testable' WHEN p_value > {level!r}::DOUBLE "

@@ -6,7 +6,6 @@ helpers exist for tests, the benchmark and the driver entry point.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark import StorageLevel
@@ -51,6 +50,10 @@ def materialize(df):
     # A reliable checkpoint writes its files in a second job; without a
     # persisted input that job recomputes the whole plan. The copy kept
     # (memory, spilling to disk) lives only until the files are written.
+    # A frame that the caller has cached stays cached.
+    level = df.storageLevel
+    if level.useMemory or level.useDisk:
+        return df.checkpoint(eager=True)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return held.checkpoint(eager=True)
@@ -76,11 +79,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises on some versions
             configured = None
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster "
                              "(checkpoints and scratch tables are written there)")
         configured = tempfile.mkdtemp(prefix="covary-ckpt-")
-    if "://" not in configured:
-        os.makedirs(configured, exist_ok=True)
+    # the folder is made by the file system it is on
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

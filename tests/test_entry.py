@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from covary.plans import oracle_sql as plan_sql
+from covary.plans import queries as plan_queries
 from tests.conftest import SF001
 
 
@@ -17,9 +19,8 @@ def test_entry_runs(spark):
 
 
 def test_every_sql_key_is_a_query():
-    qs, sql = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"lag_forecast"}
+    assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+    assert set(plan_queries()) - set(plan_sql()) == {"lag_forecast"}
 
 
 def _norm(v):
@@ -36,7 +37,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plan_sql()))
 def test_query_matches_sql_twin(spark, duck, name):
     con = duck
     df = entry_mod.queries()[name](spark, SF001)
