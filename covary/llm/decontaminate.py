@@ -128,8 +128,10 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, names: list[st
     windows = benchmark_windows(benchmark, item_col, item_text, size)
     blocks = sorted(r[0] for r in windows.select("block").distinct().collect()) or [0]  # one row per block
     at = docs.columns.index(text_col)
-    carry = [fresh(x, [*docs.columns, *names]) for x in ("found_spans", "found_items")]
-    carried = StructType([StructField(carry[0], ArrayType(IntegerType())), StructField(carry[1], ArrayType(StringType()))])
+    # what a scan hands on to the next: two columns, named anew each time
+    carried = [StructType([StructField(fresh(f"found_spans_{k}", [*docs.columns, *names]), ArrayType(IntegerType())),
+                           StructField(fresh(f"found_items_{k}", [*docs.columns, *names]), ArrayType(StringType()))])
+               for k in (0, 1)]
     fields = StructType([StructField(n, t) for n, t in zip(names, (
         LongType(), LongType(), LongType(), StringType(), BooleanType(), ArrayType(ArrayType(IntegerType()))))])
     out = docs
@@ -160,7 +162,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, names: list[st
                 return list(zip(*out)) if out else [[]] * (6 if last else 2)
             return run
 
-        out = map_batches(out, make, fields if last else carried)
+        out = map_batches(out, make, fields if last else carried[k % 2])
         if seen:
             out = out.select(*[c for i, c in enumerate([col(x) for x in out.columns]) if not seen <= i < seen + 2])
     return out

@@ -3,6 +3,8 @@
 import corpus_pipeline as cp
 
 import __spark_entry__ as entry
+from covary.llm.queries import ORACLE_SQL as QUERIES_SQL
+from covary.llm.queries import QUERIES
 from tests.conftest import SF001
 from tests.llm.test_dedup import brute_groups, find_roots, slow_print
 from tests.llm.test_filters import brute_hits
@@ -36,6 +38,17 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
             assert out.count() <= docs.count()
 
 
+def test_sql_twins(spark):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF001}/{t}.parquet'")
+    for name, sql in QUERIES_SQL.items():
+        got, want = QUERIES[name](spark, SF001), con.sql(sql)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_all_eleven_are_registered():
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
