@@ -250,16 +250,11 @@ class ByteBPE:
         cut = [[(s, p if s else self.units(p)) for s, p in self.parts(t)] for t in texts]
         every = [p for parts in cut for s, p in parts if not s]
         new = set().union(*[set(p).difference(memo) for p in every])
-        if len(memo) + len(new) > CACHE_UNITS:
-            memo.clear()
-            new = set().union(*every)
         self.unit_ids(list(new), memo)
         known = memo.__getitem__
         out = [b"".join([np.uint32(self.special[p]).tobytes() if s else b"".join(map(known, p))
                          for s, p in parts]) for parts in cut]
-        for u in new:
-            if len(u) > LONG_UNIT:
-                del memo[u]
+        forget(memo, new, CACHE_UNITS)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -269,6 +264,22 @@ class ByteBPE:
         return raw.decode("utf-8", "replace").encode()
 
 
+def forget(memo: dict, new: set, most: int) -> None:
+    """Keep a cache within bounds after a call. What came first stays, as the
+    frequent words do; of what the call added only what still fits. A call of
+    mostly unknown words (texts of another kind) starts the cache anew."""
+    if len(memo) > most:
+        if 2 * len(new) > len(memo):
+            memo.clear()
+            return
+        for u in new:
+            del memo[u]
+    else:
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del memo[u]
+
+
 def model(path: str) -> tuple[ByteBPE, dict[str, bytes]]:
     """The vocabulary and the unit cache of this Python worker."""
     if path not in _MODELS:

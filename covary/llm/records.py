@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covary.llm._common import col, saved, scratch_path, ship
-from covary.llm.bpe import LONG_UNIT, PUNCTUATION, blocks, byte_characters, texts_of
+from covary.llm.bpe import LONG_UNIT, PUNCTUATION, blocks, byte_characters, forget, texts_of
 
 # The Castagnoli polynomial (reflected) and the mask that keeps
 # a stored checksum from being taken for data.
@@ -46,6 +46,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 CRC, SHIFT = _tables()
+CRC_LIST = CRC.tolist()
 
 
 def masked_crcs(items: list[bytes]) -> np.ndarray:
@@ -62,7 +63,7 @@ def masked_crcs(items: list[bytes]) -> np.ndarray:
         at = (f + k) * CHUNK - n
         buf[at:at + n] = np.frombuffer(x, np.uint8)
         buf[at:at + 4] ^= 0xFF  # the checksum starts with all bits set
-    lanes = np.ascontiguousarray(buf.reshape(-1, CHUNK).T)
+    lanes = np.ascontiguousarray(buf.reshape(-1, CHUNK).T[-int(size.max()):])  # short items: no empty rounds
     crc = np.zeros(lanes.shape[1], dtype=np.uint32)
     for row in lanes:
         crc = CRC[(crc ^ row) & 0xFF] ^ (crc >> np.uint32(8))
@@ -76,6 +77,15 @@ def masked_crcs(items: list[bytes]) -> np.ndarray:
     return ((out >> np.uint32(15)) | (out << np.uint32(17))) + np.uint32(MASK)
 
 
+def masked_crc(item: bytes) -> int:
+    """The same for one short item."""
+    crc = 0xFFFFFFFF
+    for b in item:
+        crc = CRC_LIST[(crc ^ b) & 0xFF] ^ (crc >> 8)
+    crc ^= 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
+
+
 def frame(payloads: list[bytes]) -> list[bytes]:
     """Records: length (8 bytes), masked checksum of the length, payload,
     masked checksum of the payload; all little-endian."""
@@ -90,10 +100,10 @@ class DamagedRecord(ValueError):
 
 def unframe(stream, most: int = 8_000_000) -> Iterator[list[bytes]]:
     """The payloads of a record file in lists of about ``most`` bytes."""
-    heads, payloads, sums, held = [], [], [], 0
+    payloads, sums, held = [], [], 0
 
     def checked():
-        if (masked_crcs(heads) != [a for a, _ in sums]).any() or (masked_crcs(payloads) != [b for _, b in sums]).any():
+        if (masked_crcs(payloads) != sums).any():
             raise DamagedRecord("checksum mismatch")
         return payloads
 
@@ -103,18 +113,17 @@ def unframe(stream, most: int = 8_000_000) -> Iterator[list[bytes]]:
             if len(head) < 12:
                 raise DamagedRecord("cut-off length")
             n, a = struct.unpack("<QI", head)
-            if masked_crcs([head[:8]])[0] != a:
+            if masked_crc(head[:8]) != a:
                 raise DamagedRecord("length mismatch")
             body = stream.read(n + 4)
             if len(body) < n + 4:
                 raise DamagedRecord("cut-off payload")
-            heads.append(head[:8])
             payloads.append(body[:n])
-            sums.append((a, struct.unpack("<I", body[n:])[0]))
+            sums.append(struct.unpack("<I", body[n:])[0])
             held += n
         if payloads and (held >= most or not head):
             yield checked()
-            heads, payloads, sums, held = [], [], [], 0
+            payloads, sums, held = [], [], 0
         if not head:
             return
 
@@ -141,6 +150,7 @@ class LibraryIds:
         self.stand_in = {b: c for c, b in byte_characters().items() if ord(c) != b}
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.latin: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         a = array(self.code, ids)
@@ -161,12 +171,16 @@ class LibraryIds:
 
     def piece_ids(self, piece: str) -> bytes:
         word = piece.rstrip(PUNCTUATION)
-        if LATIN(word):  # letters, and punctuation that ends them
+        ids = self.latin.get(word)
+        if ids is None and LATIN(word):  # letters, and punctuation that ends them
             low = word.lower()
             if not low.isascii():
                 low = low.encode().decode("latin-1").translate(self.stand_in)
-            tail = piece[len(word):]
-            return self.word_ids(low) + self.word_ids(tail) if tail else self.word_ids(low)
+            ids = self.pack([t.id for t in self.model.tokenize(low)])
+            if len(self.latin) < CACHE_UNITS and len(word) <= LONG_UNIT:
+                self.latin[word] = ids
+        if ids is not None:
+            return ids + self.word_ids(piece[len(word):]) if len(word) < len(piece) else ids
         if any(s in piece for s in self.special):
             return self.pack(self.library.encode(piece, add_special_tokens=False).ids)
         if piece.isascii():
@@ -183,15 +197,10 @@ class LibraryIds:
         cut = [[t] if spaced and any(s in t for s in spaced) else t.split(" ") for t in texts]
         memo = self.memo
         new = set().union(*[set(p).difference(memo) for p in cut])
-        if len(memo) + len(new) > CACHE_UNITS:
-            memo.clear()
-            new = set().union(*cut)
         for p in new:
             memo[p] = self.piece_ids(p)
         out = [b"".join(map(memo.__getitem__, p)) for p in cut]
-        for p in new:
-            if len(p) > LONG_UNIT:
-                del memo[p]
+        forget(memo, new, CACHE_UNITS)
         return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from covary.llm._common import col, map_batches
-from covary.llm.bpe import LONG_UNIT, ByteBPE, blocks, texts_of
+from covary.llm.bpe import ByteBPE, blocks, forget, texts_of
 
 #: Bounds of a Python worker's caches; beyond them they start anew.
 CACHE_UNITS = 300_000
@@ -120,15 +120,10 @@ class PrefixCounter:
     def unit_counts(self, units: list[str]) -> list[int]:
         counts = self.counts
         new = set(units).difference(counts)
-        if len(counts) + len(new) > CACHE_UNITS:
-            counts.clear()
-            new = set(units)
         for u in new:
             counts[u] = self.unit_count(u)
         out = list(map(counts.__getitem__, units))
-        for u in new:
-            if len(u) > LONG_UNIT:
-                del counts[u]
+        forget(counts, new, CACHE_UNITS)
         return out
 
     def unit_count(self, unit: str) -> int:
