@@ -898,11 +898,15 @@ def q_json_field_counts(spark, sf):
 
 
 def _scratch(spark, kind: str) -> str:
-    """A fresh folder under the session's reliable checkpoint folder."""
+    """A fresh folder under the session's reliable checkpoint folder, deleted
+    when the application ends."""
     import uuid
 
     from covary.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 @query("json_shard_counts", """

@@ -35,15 +35,17 @@ def streaming_counts(events: DataFrame, keys: Sequence[str | Column], name: str
 
 
 def run_available(df: DataFrame, query_name: str, output_path: str | None = None,
-                  mode: str = "complete", fmt: str = "memory") -> StreamingQuery:
+                  mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
     """Process every shard available now, then stop.
 
     Offsets and aggregation state go to ``<spark.checkpoint.dir>/streams/
     <query_name>``, so a rerun continues where the last one ended and a lost
-    executor replays from the checkpoint. ``fmt='memory'`` exposes the
-    result as the temp view ``query_name``; other sinks write to
-    ``output_path`` (file sinks need ``mode='append'``).
+    executor replays from the checkpoint. Results go to ``output_path``.
+    ``fmt='memory'`` (a temp view ``query_name``, held whole on the driver) is
+    for tests and small results only and must be asked for.
     """
+    if fmt != "memory" and not output_path:
+        raise ValueError("name an output_path")
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     writer = (df.writeStream.outputMode(mode).format(fmt).queryName(query_name)

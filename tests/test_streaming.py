@@ -22,7 +22,7 @@ def test_incremental_counts_match_batch(spark):
     def counts():
         ev = stream_events(spark, os.path.join(folder, "*"), schema, "json")
         keyed = ev.select("o_orderpriority", F.substring("o_orderdate", 1, 4).alias("year"))
-        run_available(streaming_counts(keyed, ["o_orderpriority", "year"]), name)
+        run_available(streaming_counts(keyed, ["o_orderpriority", "year"]), name, mode="complete", fmt="memory")
         return {(r.o_orderpriority, r.year): r.n for r in spark.table(name).collect()}
 
     write_table(orders.filter("o_orderdate < '1998'"), os.path.join(folder, "shard0"), "json")
