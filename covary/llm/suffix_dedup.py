@@ -287,9 +287,10 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         F.collect_list(F.struct("p", "n", "h", F.coalesce("c", F.lit(1)).alias("c"))).alias("firsts"))
     split = held.join(mine, "uid", "left").withColumn(
         "firsts", F.coalesce("firsts", F.array().cast("array<struct<p:int,n:int,h:bigint,c:bigint>>")))
+    # start and number in one integer: sets of integers are compared by hash
+    packed = lambda r: F.shiftleft(r.p.cast("long"), 32) + r.n
     runs = saved(split.select("uid", F.array_except(
-        F.transform("segs", lambda r: F.struct(r.p.alias("p"), r.n.alias("n"))),
-        F.transform("firsts", lambda r: F.struct(r.p.alias("p"), r.n.alias("n")))).alias("whole"),
+        F.transform("segs", packed), F.transform("firsts", packed)).alias("whole"),
         F.transform(F.filter("firsts", lambda r: r.c > 1), lambda r: F.struct(
             r.h.alias("h"), r.c.alias("c"), r.p.alias("p"),
             F.substring(raw, r.p + 1, r.n + (length - 1)).alias("s"))).alias("open")), "repeats-runs")
@@ -298,7 +299,9 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     crowded = segments.filter(F.col("c") > SEGMENTS)
     if not crowded.isEmpty():
         later = later.unionByName(_later_by_string(crowded, length))
-    every = (runs.select("uid", F.explode("whole").alias("x")).select("uid", "x.p", "x.n")
+    every = (runs.select("uid", F.explode("whole").alias("x"))
+             .select("uid", F.shiftright("x", 32).cast("int").alias("p"),
+                     F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
              .unionByName(later).groupBy("uid").agg(F.collect_list(F.struct("p", "n")).alias("runs")))
     return held.select("uid", "text").join(every, "uid", "left")
 
