@@ -27,12 +27,15 @@ LOG_ODDS = 2.5
 SIGNIFICANCE = 30.0
 #: Lengths of stems (a stem stands for all words that begin with it).
 STEMS = range(4, 9)
-#: Terms from this length on also match with one edit.
-FUZZY_FROM = 5
+#: Terms from these lengths on also match with one edit, and with two.
+ONE_EDIT, TWO_EDITS = 4, 8
 #: What a misspelled hit is thought to be worth before any is seen, and how
 #: many documents that belief counts for.
 MISSPELLED = 0.6
 BELIEF = 2.0
+#: Coefficients of the features before any document is seen: weights are
+#: log-odds and features fifths of them, so the strongest hit counts in full.
+BELIEVED = (0.0, 5.0)
 #: Beyond this sum more hits make no difference.
 MOST_WEIGHT = 30.0
 THRESHOLD = 0.3
@@ -55,10 +58,12 @@ _MATCHERS: dict = {}
 class Lexicon:
     """A trie of terms intersected with Levenshtein automata, as one lazily
     built deterministic automaton. Its states are sets of (trie node, edits so
-    far); the first letter must match."""
+    far). The first letter must match, unless ``first_too``: then every letter
+    may be edited."""
 
-    def __init__(self, terms: list[tuple[str, bool, int]]):
+    def __init__(self, terms: list[tuple[str, bool, int]], first_too: bool = False):
         """``terms``: text, whether it is a stem, edits allowed."""
+        self.first_too = first_too
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[dict[int, int]] = [{}]  # node: term -> edits allowed
         self.stem: list[dict[int, int]] = [{}]
@@ -91,7 +96,7 @@ class Lexicon:
         todo = list(least.items())
         while todo:  # a letter of the term that the word lacks
             node, e = todo.pop()
-            if node and e < self.most[node]:
+            if (node or self.first_too) and e < self.most[node]:
                 for child in self.children[node].values():
                     if e + 1 < least.get(child, 9) and e + 1 <= self.most[child]:
                         least[child] = e + 1
@@ -111,7 +116,7 @@ class Lexicon:
         for node, e in self.sets[state]:
             child = self.children[node].get(c)
             moves = [] if child is None else [(child, e)]
-            if node and e < self.most[node]:
+            if (node or self.first_too) and e < self.most[node]:
                 moves += [(node, e + 1), *((x, e + 1) for x in self.children[node].values())]
             for x, cost in moves:
                 if cost <= self.most[x] and cost < least.get(x, 9):
@@ -152,26 +157,45 @@ def context_score(text: str, start: int, end: int) -> tuple[bool, float]:
     return quoted, weight
 
 
+def edits_of(text: str) -> int:
+    """Edits with which a term of this length still matches."""
+    return (len(text) >= ONE_EDIT) + (len(text) >= TWO_EDITS)
+
+
 class Matcher:
     """Hits of a lexicon in whole texts. Terms are (text, is stem, weight of
-    an exact hit, weight of a misspelled one)."""
+    an exact hit, weight of a misspelled one); ``forms`` has the weights of
+    misspelled words that are known, and those of no weight are no hits."""
 
-    def __init__(self, terms: list[tuple[str, bool, float, float]]):
-        self.lexicon = Lexicon([(t, s, int(len(t) >= FUZZY_FROM + s)) for t, s, _, _ in terms])
+    def __init__(self, terms: list[tuple[str, bool, float, float]], forms: dict[str, float] | None = None):
+        self.lexicon = Lexicon([(t, s, edits_of(t)) for t, s, _, _ in terms], first_too=True)
         self.weights = [w[2:] for w in terms]
+        self.forms = forms or {}
         self.known: dict[str, tuple[int, int, int] | None] = {}
 
+    def weight(self, word: str, hit: tuple[int, int, int]) -> float:
+        weight = self.weights[hit[2]][hit[0] > 0]
+        return self.forms.get(word, weight) if hit[0] else weight
+
+    def match(self, word: str) -> tuple[int, int, int] | None:
+        hit = self.lexicon.match(word)
+        return hit if hit is not None and self.weight(word, hit) > 0 else None
+
     def hit(self, word: str) -> tuple[int, int, int] | None:
         if len(word) > LONGEST_WORD:
-            return self.lexicon.match(word)
+            return self.match(word)
         if word not in self.known:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
-            self.known[word] = self.lexicon.match(word)
+            self.known[word] = self.match(word)
         return self.known[word]
 
     def spans(self, text: str) -> list[tuple[int, int, int, int, bool, float]]:
         """Hits: start, end, term, edits, quoted, weight of the context."""
+        return [x[1:] for x in self.found(text)]
+
+    def found(self, text: str) -> list[tuple[str, int, int, int, int, bool, float]]:
+        """The hits of :meth:`spans`, each after its word."""
         low = text.lower()
         if len(low) != len(text):  # a letter that grows in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -182,27 +206,21 @@ class Matcher:
         for m in WORD.finditer(low):
             h = found.get(m.group())
             if h is not None:
-                out.append((m.start(), m.end(), h[2], h[0], *context_score(low, m.start(), m.end())))
+                out.append((m.group(), m.start(), m.end(), h[2], h[0], *context_score(low, m.start(), m.end())))
         return out
 
-    def counts(self, text: str) -> list[list[float]]:
-        """(term, misspelled, quoted, sum of context weights) of a text."""
-        sums: Counter = Counter()
-        for _, _, term, edits, quoted, weight in self.spans(text):
-            sums[term, edits > 0, quoted] += weight
-        return [[*map(float, k), v] for k, v in sums.items()]
-
-
-def features(counts: list[list[float]], weights: list[tuple[float, float]]) -> list[float]:
-    """The weights of the hits, each as its context says, summed."""
-    return [min(sum(n * weights[int(term)][int(wrong)] for term, wrong, _, n in counts), MOST_WEIGHT) / 5]
+    def features(self, found: list) -> list[float]:
+        """The weights of the hits, each as its context says: their sum, and
+        the largest, as one hit can be enough."""
+        each = [x[6] * self.weight(x[0], (x[4], 0, x[3])) for x in found]
+        return [min(sum(each), MOST_WEIGHT) / 5, min(max(each, default=0.0), MOST_WEIGHT) / 5]
 
 
 def matcher(key: str, data) -> Matcher:
     """The matcher of a broadcast model, built once in a Python worker."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(data.value)
+        _MATCHERS[key] = Matcher(*data.value)
     return _MATCHERS[key]
 
 
@@ -290,8 +308,11 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[tuple[str, bool,
     return out[:most]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Bias and non-negative coefficients of a logistic regression."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50,
+             believed: tuple[float, ...] | None = None) -> np.ndarray:
+    """Bias and non-negative coefficients of a logistic regression, the
+    coefficients drawn towards ``believed`` (zeros by default)."""
+    prior = np.concatenate(([0.0], believed or np.zeros(x.shape[1])))
     z = np.hstack([np.ones((len(x), 1)), x])
     on = np.ones(z.shape[1], dtype=bool)
     while True:
@@ -299,7 +320,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 5
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
             ridge = np.where(np.arange(len(beta)) > 0, penalty, 1e-6)
-            grad = z.T @ (p - y) + ridge * beta
+            grad = z.T @ (p - y) + ridge * (beta - prior)
             hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
             step = np.zeros(len(beta))
             step[on] = np.linalg.solve(hess[np.ix_(on, on)], grad[on])
@@ -315,57 +336,89 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 5
 
 
 class Model:
-    """A lexicon with its weights, and bias and coefficients of the features."""
+    """A lexicon with its weights, those of known misspelled words, and bias
+    and coefficients of the features."""
 
-    def __init__(self, terms: list[tuple[str, bool, float, float]], beta: list[float]):
-        self.terms, self.beta = terms, beta
+    def __init__(self, terms: list[tuple[str, bool, float, float]], forms: dict[str, float], beta: list[float]):
+        self.terms, self.forms, self.beta = terms, forms, beta
 
 
-def weighed(terms: list, hits: list[list[list[float]]], y: np.ndarray) -> list[tuple[str, bool, float, float]]:
+def weighed(terms: list, base: float, exact: dict[int, tuple[float, float]], votes: dict[int, tuple[float, float]],
+            seen: list[tuple[str, int, float, float]]) -> tuple[list[tuple[str, bool, float, float]], dict[str, float]]:
     """The terms with the log-odds of the hits they really got (a word counts
-    for its longest term), drawn towards what was believed before; a weight
-    below zero becomes zero."""
-    logit = lambda p: math.log(p / (1 - p))
-    base = logit(min(0.99, max(0.01, float(y.mean()))))
-    seen = Counter((int(t), int(w), int(label)) for doc, label in zip(hits, y)
-                   for t, w in {(t, w) for t, w, _, _ in doc})
+    for its longest term), drawn towards what was believed before, and the
+    weights of the misspelled words that were ``seen`` (word, term, toxic and
+    clean documents), drawn towards that of their term; a weight below zero
+    becomes zero. ``votes`` are those of the misspelled words of a term."""
+    def weight(before: float, a: float, b: float) -> float:
+        q = 1 / (1 + math.exp(-(base + before)))
+        p = (a + BELIEF * q) / (a + b + BELIEF)
+        return max(0.0, math.log(p / (1 - p)) - base)
+
     out = []
-    for k, (text, stem, *before) in enumerate(terms):
-        new = []
-        for wrong in (0, 1):
-            a, b = seen[k, wrong, 1], seen[k, wrong, 0]
-            q = 1 / (1 + math.exp(-(base + before[wrong])))
-            new.append(max(0.0, logit((a + BELIEF * q) / (a + b + BELIEF)) - base))
-        out.append((text, stem, *new))
-    return out
+    for k, (text, stem, before, _) in enumerate(terms):
+        w = weight(before, *exact.get(k, (0, 0)))
+        out.append((text, stem, w, weight(MISSPELLED * w, *votes.get(k, (0, 0)))))
+    return out, {word: weight(out[k][3], a, b) for word, k, a, b in seen}
+
+
+def hit_counts(sample: DataFrame, terms: list) -> DataFrame:
+    """``term, form, a, b``: toxic and clean documents with a term (no form),
+    and with each misspelled word that matches it."""
+    data, key = sample.sparkSession.sparkContext.broadcast((terms,)), uuid.uuid4().hex
+    ship(sample.sparkSession)
+
+    def count(batches):
+        m = matcher(key, data)
+        seen: Counter = Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hits = {(w, h) for w in set(WORD.findall(text.lower())) if (h := m.hit(w)) is not None}
+                seen.update({(h[2], w if h[0] else None, y > 0) for w, h in hits})
+        rows = [(k, w, n * y, n * (not y)) for (k, w, y), n in seen.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+            names=["term", "form", "a", "b"])
+
+    return saved(sample.mapInArrow(count, "term int, form string, a long, b long").groupBy("term", "form").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")), "tox-hits")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", most: int = SAMPLE) -> Model:
     """Learn lexicon, weights and coefficients from labelled rows that are not
-    held out. The hits of about ``most`` documents at most reach the driver."""
+    held out. Two numbers for each of about ``most`` documents at most reach
+    the driver, and the misspelled words that are in two of them or more. (A
+    word in one of them only is as good as new, and so are its chances: the
+    words of a term vote on those, each the less the more documents it is in.)"""
     sample = _sample(docs, labels, id_col, text_col, label_col, most)
     terms = learn_lexicon(sample)
-    data, key = sample.sparkSession.sparkContext.broadcast(terms), uuid.uuid4().hex
+    share = sample.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
+    if share is None:
+        return Model([], {}, [-30.0, 0.0, 0.0])
+    share = min(0.99, max(0.01, share))
+    hits, n = hit_counts(sample, terms), F.col("a") + F.col("b")
+    exact = {r.term: (r.a, r.b) for r in hits.filter("form IS NULL").collect()}
+    wrong = hits.filter("form IS NOT NULL")
+    votes = {r.term: (r.a, r.b) for r in wrong.groupBy("term").agg(
+        F.sum(F.col("a") / (n * n)).alias("a"), F.sum(F.col("b") / (n * n)).alias("b")).collect()}
+    seen = [(r.form, r.term, r.a, r.b) for r in wrong.filter(n > 1).collect()]
+    terms, forms = weighed(terms, math.log(share / (1 - share)), exact, votes, seen)
+    data, key = sample.sparkSession.sparkContext.broadcast((terms, forms)), uuid.uuid4().hex
 
     def make():
         m = matcher(key, data)
-        return lambda batch: [[m.counts(t) for t in batch.column(0).to_pylist()]]
+        return lambda batch: [[m.features(m.found(t)) for t in batch.column(0).to_pylist()]]
 
-    field = StructType([StructField("x", ArrayType(ArrayType(DoubleType())))])
-    rows = map_batches(sample, make, field).select("x", "toxic").collect()
-    if not rows:
-        return Model([], [-30.0, 0.0])
-    hits, y = [r[0] for r in rows], np.array([r[1] > 0 for r in rows], dtype=float)
-    terms = weighed(terms, hits, y)
-    x = np.array([features(h, [t[2:] for t in terms]) for h in hits])
-    return Model(terms, logistic(x, y).tolist())
+    rows = map_batches(sample, make, StructType([StructField("x", ArrayType(DoubleType()))])).select("x", "toxic").collect()
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] > 0 for r in rows], dtype=float)
+    return Model(terms, forms, logistic(x, y, believed=BELIEVED).tolist())
 
 
 def scored(docs: DataFrame, model: Model, text_col: str, score: str, predicted: str,
            threshold: float = THRESHOLD, hits: str | None = None) -> DataFrame:
     """Append score and prediction to every row (and the matched terms)."""
-    data, key = docs.sparkSession.sparkContext.broadcast(model.terms), uuid.uuid4().hex
+    data, key = docs.sparkSession.sparkContext.broadcast((model.terms, model.forms)), uuid.uuid4().hex
     beta, terms, at = model.beta, model.terms if hits else [], docs.columns.index(text_col)
     fields = [StructField(score, DoubleType()), StructField(predicted, IntegerType())]
     if hits:
@@ -378,10 +431,11 @@ def scored(docs: DataFrame, model: Model, text_col: str, score: str, predicted:
             scores, found = [], []
             for some in blocks([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]):
                 for text in some:
-                    z = beta[0] + sum(b * x for b, x in zip(beta[1:], features(m.counts(text), m.weights)))
+                    hit = m.found(text)
+                    z = beta[0] + sum(b * x for b, x in zip(beta[1:], m.features(hit)))
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                     if terms:
-                        found.append(sorted({terms[h[2]][0] for h in m.spans(text)}))
+                        found.append(sorted({terms[h[3]][0] for h in hit}))
                     else:
                         found.append([])
             return [scores, [int(s >= threshold) for s in scores]] + [found] * (len(fields) > 2)
