@@ -7,6 +7,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,11 @@ from covary.llm.langid import held_out, trainable
 
 #: Labelled documents the fit reads, chosen by a hash of the id.
 SAMPLE = 30_000
-#: Terms of the lexicon, and what makes a term: its log-odds, and the
-#: log-likelihood ratio that sets it apart from a chance find.
+#: Terms of the lexicon, and what makes a term: its log-odds, and the share of
+#: chance finds among terms in about as many documents that stand out as much.
 TERMS = 2000
 LOG_ODDS = 2.5
-SIGNIFICANCE = 30.0
+CHANCE = 0.2
 #: Lengths of stems (a stem stands for all words that begin with it).
 STEMS = range(4, 9)
 #: Terms from these lengths on also match with one edit, and with two.
@@ -251,9 +252,44 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                                               F.max("toxic").alias("toxic")).select("text", "toxic"), "tox-sample")
 
 
+def tail(a: int, n: int, p: float) -> float:
+    """Chance of ``a`` or more out of ``n``."""
+    if p >= 1:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(a + 1) - math.lgamma(n - a + 1)
+                    + a * math.log(p) + (n - a) * math.log1p(-p))
+    total = 0.0
+    for k in range(a, n + 1):
+        total += term
+        term *= (n - k) / (k + 1) * p / (1 - p)
+        if term < 1e-12 * total:
+            break
+    return min(1.0, total)
+
+
+def chances(sizes: dict[tuple[bool, int], int], share: dict[bool, float],
+            found: list[tuple[bool, int, int, int, int]]) -> dict[tuple[bool, int, int], float]:
+    """The false discovery rate (Benjamini-Hochberg) of ``found`` (is stem,
+    band, documents, toxic ones, number of such terms), each among the terms
+    of its band. ``sizes``: the terms of a band, ``share``: toxic documents
+    among those of all terms."""
+    out, bands = {}, {}
+    for stem, band, n, a, terms in found:
+        bands.setdefault((stem, band), []).append((tail(a, n, share[stem]), n, a, terms))
+    for (stem, band), rows in bands.items():
+        rows.sort()
+        at = list(accumulate(r[3] for r in rows))
+        least = 1.0
+        for (p, n, a, _), rank in zip(reversed(rows), reversed(at)):
+            least = min(least, p * sizes[stem, band] / rank)
+            out[stem, n, a] = least
+    return out
+
+
 def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[tuple[str, bool, float, float]]:
     """Terms (text, is stem, weight): words and stems that are in far more
-    toxic documents than chance would have it. A stem whose documents nearly
+    toxic documents than chance would have it, whatever the size of the
+    sample; weights shrink by the rate of chance finds. A stem whose documents nearly
     all share a longer term gives way to that, and a term that a remaining
     shorter stem stands for is left out."""
     def count(batches):
@@ -282,16 +318,26 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[tuple[str, bool,
     n, p = F.col("a") + F.col("b"), t / (t + c)
     ln = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
     weight = F.log((F.col("a") + 0.5) / (t + 1)) - F.log((F.col("b") + 0.5) / (c + 1))
-    rows = (sample.mapInArrow(count, "term string, a long, b long").groupBy("term")
-            .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a >= 3")
-            .select("term", "a", weight.alias("w"),
-                    (2 * (ln(F.col("a"), n * p) + ln(F.col("b"), n * (1 - p)))).alias("g"))
-            .filter((F.col("w") >= LOG_ODDS) & (F.col("g") >= SIGNIFICANCE))
-            .orderBy(F.desc("g"), "term").limit(4 * most).collect())  # a lexicon of bounded size
+    stem, total = F.col("term").endswith("*").alias("stem"), F.sum("n").alias("total")
+    band = F.floor(2 * F.log2("n")).cast("int").alias("band")
+    counted = saved(sample.mapInArrow(count, "term string, a long, b long").groupBy("term")
+                    .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b >= 2")
+                    .withColumn("n", n), "tox-terms")
+    bands = counted.groupBy(stem, band).agg(F.count("*").alias("terms"), F.sum("a").alias("a"), total).collect()
+    share = {s: sum(r.a for r in bands if r.stem == s) / sum(r.total for r in bands if r.stem == s)
+             for s in {r.stem for r in bands}}
+    telling = (counted.select("term", "a", "b", "n", stem, band, weight.alias("w"),
+                              (2 * (ln(F.col("a"), n * p) + ln(F.col("b"), n * (1 - p)))).alias("g"))
+               .filter((F.col("a") >= 2) & (F.col("w") >= LOG_ODDS)))
+    alike = telling.groupBy("stem", "band", "n", "a").count().collect()  # few: a pair of counts each
+    chance = chances({(r.stem, r.band): r.terms for r in bands}, share, [tuple(r) for r in alike])
+    low = [(s, n, a) for (s, n, a), q in chance.items() if q <= CHANCE]
+    rows = [] if not low else telling.join(F.broadcast(sample.sparkSession.createDataFrame(
+        low, "stem boolean, n long, a long")), ["stem", "n", "a"]).orderBy(
+        F.desc("g"), "term").limit(4 * most).collect()  # a lexicon of bounded size
     found: dict[str, tuple[bool, float, float]] = {}
     for r in rows:
-        stem = r.term.endswith("*")
-        found[r.term] = (stem, r.w, r.g)
+        found[r.term] = (r.stem, r.w * (1 - chance[r.stem, r.n, r.a]), r.g)
     # of a stem and a longer term that is as telling the longer one is the term
     for term, (_, _, g) in list(found.items()):
         text = term.rstrip("*")

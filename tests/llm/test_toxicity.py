@@ -1,8 +1,13 @@
-"""Toxicity: misspelled terms."""
+"""Toxicity: misspelled terms, and small tables."""
 
 import random
+from math import comb
 
+import pytest
+
+import corpus_pipeline as cp
 from covary.llm import toxicity
+from tests.conftest import SF001
 from tests.llm.test_filters import distance
 
 
@@ -45,3 +50,20 @@ def test_only_a_misspelled_word_is_enough(spark):
     assert all(r.predicted == (r.doc_id % 8 == 0) for k, r in got.items() if k < 2000)
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
     assert kept == {k for k, r in got.items() if not r.predicted}
+
+
+def test_rate_of_chance_finds():
+    want = sum(comb(9, k) * 0.2 ** k * 0.8 ** (9 - k) for k in range(4, 10))
+    assert toxicity.tail(4, 9, 0.2) == pytest.approx(want) and toxicity.tail(0, 5, 0.3) == pytest.approx(1)
+    q = toxicity.chances({(False, 4): 100}, {False: 0.1}, [(False, 4, 4, 4, 5), (False, 4, 4, 3, 5), (False, 4, 4, 2, 1)])
+    assert q[False, 4, 4] == pytest.approx(100 * 1e-4 / 5)
+    assert q[False, 4, 3] == pytest.approx(100 * toxicity.tail(3, 4, 0.1) / 10)
+    assert q[False, 4, 4] < toxicity.CHANCE and q[False, 4, 2] > toxicity.CHANCE
+
+
+def test_the_stage_catches_labelled_rows_of_a_small_table(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF001}/labels.parquet").collect()}
+    kept = {r.doc_id for r in cp.toxic(spark, docs, SF001).collect()}
+    gone = [labels.get(r.doc_id) for r in docs.select("doc_id").collect() if r.doc_id not in kept]
+    assert gone.count(1) >= 5 and gone.count(0) == 0
