@@ -92,10 +92,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                      size: int = WINDOW) -> DataFrame:
+                      size: int = WINDOW, nameless: bool = False) -> DataFrame:
     """``window`` (bytes), ``items`` (sorted ids as strings) and ``block``:
     the distinct windows, dealt to as many blocks as ``AUTOMATON_BYTES`` asks
-    for. Items without words have none; null ids are passed over."""
+    for. Items without words have none. Null ids are passed over, unless
+    ``nameless``: then their windows count, without an id in ``items``."""
     ship(benchmark.sparkSession)
 
     def run(batches):
@@ -105,7 +106,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], type=pa.binary()),
                                               pa.array([i for _, i in rows], type=pa.string())], names=["window", "item"])
 
-    rows = benchmark.filter(col(id_col).isNotNull()).select(
+    rows = (benchmark if nameless else benchmark.filter(col(id_col).isNotNull())).select(
         col(id_col).cast("string").alias("item"), col(text_col).cast("string").alias("text"))
     found = saved(rows.mapInArrow(run, "window binary, item string").groupBy("window").agg(
         F.sort_array(F.collect_set("item")).alias("items")), "bench-windows")
@@ -116,7 +117,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, names: list[str], item_col: str = "item_id",
-            item_text: str = "text", size: int = WINDOW, share: int = SHARE) -> DataFrame:
+            item_text: str = "text", size: int = WINDOW, share: int = SHARE, nameless: bool = False) -> DataFrame:
     """Append ``names`` to every row: words, hit words, items, their hash, the
     verdict, and the hit spans as character offsets of the original text.
 
@@ -125,7 +126,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, names: list[st
     collected and broadcast, and the scans hand on what they have found.
     """
     spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, item_col, item_text, size)
+    windows = benchmark_windows(benchmark, item_col, item_text, size, nameless)
     blocks = sorted(r[0] for r in windows.select("block").distinct().collect()) or [0]  # one row per block
     at = docs.columns.index(text_col)
     # what a scan hands on to the next: two columns, named anew each time
@@ -170,7 +171,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, names: list[st
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", size: int = WINDOW,
-                  share: int = SHARE) -> DataFrame:
+                  share: int = SHARE, nameless: bool = False) -> DataFrame:
     """One row per input row: ``id_col, n_words, n_hit, n_items, items_sha256,
     contaminated, hit_spans``.
 
@@ -180,16 +181,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     as is everything against an empty benchmark. Null and repeated ids are
     kept as they are, windows shared by items count for each, repeated items
     count once; an empty table gives an empty result; other columns are not
-    read. ``hit_spans`` are character offsets of the original text.
+    read. Benchmark rows with a null id are passed over, unless ``nameless``:
+    then their windows hit, and only the items leave them out. ``hit_spans`` are character offsets of the original text.
     """
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"]
     rows = docs.select(col(id_col).alias("row_id"), col(text_col).cast("string").alias("row_text"))
-    out = scanned(rows, benchmark, "row_text", names, item_col, item_text, size, share)
+    out = scanned(rows, benchmark, "row_text", names, item_col, item_text, size, share, nameless)
     return out.select(F.col("row_id").alias(id_col), *names)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The clean rows of ``docs``, all columns as they are."""
+    """The clean rows of ``docs``, all columns as they are. Benchmark rows
+    with a null id count, unless ``nameless`` is false."""
     names = [fresh("contamination_" + x, docs.columns) for x in ("words", "hit", "items", "sha", "flag", "spans")]
-    out = scanned(docs, benchmark, text_col, names, **options)
+    out = scanned(docs, benchmark, text_col, names, **{"nameless": True} | options)
     return out.filter(~F.col(names[4])).select(*[col(c) for c in docs.columns])
