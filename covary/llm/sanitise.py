@@ -34,8 +34,8 @@ SUPPORT = 2
 #: Bits about the entity that a disclosing term leaves open at most, and that
 #: one leaves open at most to be removed instead of generalised.
 RESIDUAL, REMOVE = 1.0, 0.1
-#: Bytes of the filter of disclosing terms at most (16 bits a term).
-FILTER_BYTES = 64 << 20
+#: Bytes of the filter of disclosing terms, at least and at most (64 bits a term between).
+LEAST_BYTES, FILTER_BYTES = 1 << 17, 64 << 20
 
 # Patterns that the contract fixes; e-mail domains, dotted numbers.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -214,9 +214,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", window: int = WIND
 
 
 def _filter(terms: DataFrame) -> np.ndarray:
-    """A Bloom filter of the terms (two bits of 16 each), filled by the tasks."""
+    """A Bloom filter of the terms (two bits of 64 each), filled by the tasks."""
     n = max(1, terms.count())
-    bits = 1 << min((FILTER_BYTES * 8).bit_length() - 1, max(10, (16 * n - 1).bit_length()))
+    bits = 1 << (min(FILTER_BYTES, max(LEAST_BYTES, 8 * n)) * 8 - 1).bit_length()
 
     def run(batches):
         flags = np.zeros(bits // 8, dtype=np.uint8)
