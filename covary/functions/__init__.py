@@ -2,6 +2,7 @@
 
 from covary.functions.index import weighted_index
 from covary.functions.keys import (
+    distinct_names,
     month_from_position,
     month_start,
     month_text,
@@ -28,6 +29,7 @@ from covary.functions.stats import (
 
 __all__ = [
     "MACHINE_EPSILON",
+    "distinct_names",
     "month_from_position",
     "month_start",
     "month_text",

@@ -92,22 +92,27 @@ def sanitize_name(name: str) -> str:
     return name.replace(".", "").replace(" ", "")
 
 
-def sanitized_names(names: Iterable[str]) -> list[str]:
-    """Sanitised names, unique: a name that collides with an earlier one gets
-    ``_2``, ``_3`` ... appended (the first keeps its name)."""
+def distinct_names(names: Iterable[str]) -> list[str]:
+    """``names`` made distinct as Spark compares them, without regard to case:
+    one that meets an earlier name gets ``_2``, ``_3`` ... appended (the first
+    keeps its name)."""
     out: list[str] = []
     seen: set[str] = set()
     for name in names:
-        base = sanitize_name(name)
-        cand, k = base, 1
-        while cand in seen:
+        cand, k = name, 1
+        while cand.lower() in seen:
             k += 1
-            cand = f"{base}_{k}"
-        seen.add(cand)
+            cand = f"{name}_{k}"
+        seen.add(cand.lower())
         out.append(cand)
     return out
 
 
+def sanitized_names(names: Iterable[str]) -> list[str]:
+    """Sanitised names, made distinct (:func:`distinct_names`)."""
+    return distinct_names(sanitize_name(name) for name in names)
+
+
 def sanitize_columns(df: DataFrame) -> DataFrame:
     """Rename all columns by the sanitising rule, resolving collisions."""
     return df.toDF(*sanitized_names(df.columns))

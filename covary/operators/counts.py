@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covary.functions.keys import distinct_names
 from covary.operators._util import Cols, as_list, null_safe_join
 
 NULL_LABEL = "(null)"
@@ -51,6 +52,26 @@ def unpivot_dimensions(combo: DataFrame, group: Cols, period: str,
                 .agg(F.sum(name).alias(name)))
 
 
+def dimension_counts(df: DataFrame, group: Cols, period: str,
+                     dims: Mapping[str, str | Column] | Sequence[str],
+                     name: str = "n") -> DataFrame:
+    """Counts per (group, period, dimension, category), and per (group,
+    period) in rows whose ``dimension`` is NULL: the total is one more
+    dimension of the same count. Combined map-side; the shuffle is bounded by
+    the sum of the dimensions' categories per (group, period)."""
+    d = _dims(dims)
+    ids = [*as_list(group), period]
+    # a dimension's own column may be called like a group, so it gets a number
+    wide = df.select(*ids, *[c.cast("string").alias(f"__d{i}") for i, c in enumerate(d.values())],
+                     F.lit(None).cast("string").alias(f"__d{len(d)}"))
+    long = wide.unpivot(ids, [f"__d{i}" for i in range(len(d) + 1)], "dimension", "category")
+    counts = long.groupBy(*ids, "dimension", "category").agg(F.count(F.lit(1)).alias(name))
+    label = F.lit(None).cast("string")
+    for i, key in enumerate(d):
+        label = F.when(F.col("dimension") == f"__d{i}", F.lit(key)).otherwise(label)
+    return counts.withColumn("dimension", label)
+
+
 def category_counts(df: DataFrame, group: Cols, period: str,
                     dims: Mapping[str, str | Column] | Sequence[str],
                     name: str = "n", total: str = "total") -> DataFrame:
@@ -58,14 +79,15 @@ def category_counts(df: DataFrame, group: Cols, period: str,
 
     Returns long rows ``(group, period, dimension, category, n, total)``
     where ``total`` is the number of events of the (group, period). A label
-    that occurs in two dimensions stays two rows (keyed by dimension).
+    that occurs in two dimensions stays two rows (keyed by dimension). The
+    total is counted with the categories (:func:`dimension_counts`) and
+    handed to its period's rows by a window: no join.
     """
-    d = _dims(dims)
-    combo = combination_counts(df, group, period, d, name)
-    cells = unpivot_dimensions(combo, group, period, list(d.keys()), name)
-    totals = (combo.groupBy(*as_list(group), period)
-                   .agg(F.sum(name).alias(total)))
-    return null_safe_join(cells, totals, [*as_list(group), period])
+    keys = [*as_list(group), period]
+    cells = dimension_counts(df, group, period, dims, name)
+    whole = F.max(F.when(F.col("dimension").isNull(), F.col(name))).over(Window.partitionBy(*keys))
+    return (cells.withColumn(total, whole).filter(F.col("dimension").isNotNull())
+                 .select(*keys, "dimension", "category", name, total))
 
 
 def category_map(counts: DataFrame, group: Cols, period: str, name: str = "n",
@@ -101,31 +123,53 @@ def ordered_series(df: DataFrame, group: Cols, order: str, value: str,
               .agg(F.array_sort(F.collect_list(F.struct(order, value))).alias(out)))
 
 
+#: Columns that a pivot makes at most; a table of more is refused.
+MOST_COLUMNS = 2000
+
+
 def pivot_counts(df: DataFrame, period: str, category: str,
                  values: Sequence[str] | None = None, name: str = "n",
-                 fill: int = 0) -> DataFrame:
+                 fill: int = 0, most: int = MOST_COLUMNS) -> DataFrame:
     """Period x category matrix of event counts, zero-filled.
 
-    Long counts are computed first (partial aggregation), then pivoted; a
-    NULL category becomes the column ``(null)``, and a category of that name
-    gets an underscore. Without ``values`` a job looks up the
-    categories, one column each, while the frame is built; pass them when
-    they are known.
+    Long counts are computed first (partial aggregation), then pivoted with
+    :func:`wide`. Without ``values`` a job looks up the categories, in
+    ascending order; pass them when they are known.
+    """
+    long = df.groupBy(F.col(_q(period)).alias("__p"), F.col(_q(category)).cast("string").alias("__c")).agg(
+        F.count(F.lit(1)).alias(name))
+    return wide(long, "__p", "__c", name, values, fill, most, period)
+
+
+def wide(long: DataFrame, period: str, category: str, value: str, values: Sequence[str] | None = None,
+         fill: float | None = 0, most: int = MOST_COLUMNS, period_name: str | None = None) -> DataFrame:
+    """Long (period, category, value) rows as one row per period, one column
+    per category, summed, empty cells as ``fill``.
+
+    Categories are numbered first and the columns are made by number; only
+    the finished table is named, so a label may be anything. A NULL category
+    is called ``(null)``. Names that differ by case only from an earlier one,
+    the period's included, get ``_2``, ``_3`` and so on. More than ``most``
+    categories raise a ValueError that says how many there are.
     """
-    text = F.col(category).cast("string")
-    # only a label that could be taken for that of NULL gets an underscore
-    label = F.when(text.rlike(r"^\(null\)_*$"), F.concat(text, F.lit("_"))).otherwise(text)
-    cat = F.coalesce(label, F.lit(NULL_LABEL)).alias(category)
-    long = df.select(period, cat).groupBy(period, category).agg(F.count(F.lit(1)).alias(name))
-    pivoted = long.groupBy(period).pivot(category, list(values) if values else None).agg(F.sum(name))
-    return _filled(pivoted, period, fill)
-
-
-def _filled(wide: DataFrame, period: str, fill: int) -> DataFrame:
-    """NULL cells of a pivot as ``fill``, whatever the categories are called
-    (a dot in a name is part of the name)."""
-    return wide.select(*[F.col(_q(c)) if c == period else F.coalesce(F.col(_q(c)), F.lit(fill)).alias(c)
-                         for c in wide.columns])
+    period_name = period_name or period
+    label = F.col(_q(category)).cast("string")
+    if values is None:
+        kinds = long.select(label.alias("c")).distinct()
+        names = [r.c for r in kinds.orderBy(F.col("c").asc_nulls_first()).limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"{kinds.count()} categories make more columns than the {most} allowed")
+    else:
+        names = list(values)
+    dictionary = F.create_map(*[F.lit(v) for i, n in enumerate(names) if n is not None for v in (n, i)]) \
+        if any(n is not None for n in names) else F.lit(None).cast("map<string,int>")
+    none = F.lit(names.index(None) if None in names else None).cast("int")
+    number = F.when(label.isNull(), none).otherwise(F.try_element_at(dictionary, label))
+    table = (long.select(F.col(_q(period)).alias("__period"), number.alias("__number"), F.col(_q(value)).alias("__value"))
+                 .groupBy("__period").pivot("__number", list(range(len(names)))).agg(F.sum("__value")))
+    cells = [F.col(str(i)) if fill is None else F.coalesce(F.col(str(i)), F.lit(fill)) for i in range(len(names))]
+    titles = distinct_names([period_name, *[NULL_LABEL if n is None else n for n in names]])
+    return table.select(F.col("__period"), *[c.alias(f"__{i}") for i, c in enumerate(cells)]).toDF(*titles)
 
 
 def _q(name: str) -> str:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covary.functions.stats import let
 from covary.operators._util import Cols, as_list, null_safe_join
+from covary.operators.sized import guarded_join
 from covary.session import materialize
 
 # Mean Earth radius in km and the degree -> radian factor.
@@ -21,14 +22,14 @@ def with_indicator(df: DataFrame, indicator: DataFrame, on: Cols,
                    broadcast: bool = False) -> DataFrame:
     """Attach indicator columns by key; missing values become ``fill``.
 
-    ``broadcast=True`` is for indicators whose size is bounded by
-    construction (one row per calendar month, a fixed lookup list). Without
-    it Spark decides, and AQE turns the join into a broadcast at run time
-    when the indicator turns out small.
+    ``broadcast=True`` is for indicators that are expected to be small (one
+    row per calendar month, a lookup list); the size is measured
+    (:func:`covary.operators.sized.guarded_join`) and a large one is joined by
+    a salted shuffle. Without it Spark decides, and AQE turns the join into a
+    broadcast at run time when the indicator turns out small.
     """
     keys = as_list(on)
-    ind = F.broadcast(indicator) if broadcast else indicator
-    out = null_safe_join(df, ind, keys, how)
+    out = guarded_join(df, indicator, keys, how) if broadcast else null_safe_join(df, indicator, keys, how)
     if fill is not None:
         value_cols = [c for c in indicator.columns if c not in keys]
         names = {c.lower() for c in value_cols}
@@ -65,6 +66,45 @@ def code_ranges(df: DataFrame, code: str | Column, ranges: Sequence[tuple],
     return out.select(*cols, "__rng.range_lo", "__rng.range_hi", "__rng.range_label")
 
 
+def range_join(df: DataFrame, ranges: DataFrame, code: str, lo: str = "lo", hi: str = "hi",
+               closed: tuple[bool, bool] = (True, True)) -> DataFrame:
+    """Rows of ``df`` with every row of a range *table* whose ``lo .. hi``
+    holds their ``code``, as an equi-join on bins.
+
+    A range is put into the bins of its own width class, 2 ** k >= hi - lo, of
+    which it meets two at most, whatever its width; a row looks once into
+    each width class that occurs (one row per class is read on the driver, at
+    most 86). Matches of a bin are tested exactly after the join.
+    Ranges may overlap, repeat and be of any number; those with a NULL or NaN
+    bound, or lo above hi, hold nothing. Ranges without an end, and those
+    wider than 2 ** 64, share one class of one bin; those below 2 ** -20 share
+    one class, too. Columns of the ranges
+    follow those of ``df`` and must be called differently.
+    """
+    x, a, b = (F.col(f"`{c}`").cast("double") for c in (code, lo, hi))
+    widest, finest = 64, -20
+    width = F.when((a == float("-inf")) | (b == float("inf")) | (b - a > float(2 ** widest)), F.lit(widest + 1)).otherwise(
+        F.greatest(F.lit(finest), F.ceil(F.log2(F.greatest(b - a, F.lit(2.0 ** finest)))).cast("int")))
+    asked = (ranges.filter(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b) & (a <= b))
+                   .select("*", width.alias("__k")))
+    classes = sorted(r[0] for r in asked.select("__k").distinct().collect())
+
+    def bin_of(value: Column, k: Column) -> Column:
+        # beyond the range of a long the floor stays at its end: still in order
+        return F.when(k > widest, F.lit(0).cast("long")).otherwise(F.floor(value / F.pow(F.lit(2.0), k)))
+
+    first, last = bin_of(a, F.col("__k")), bin_of(b, F.col("__k"))
+    keyed = asked.withColumn("__bin", F.explode(F.array_distinct(F.array(first, last))))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    looks = F.explode(F.array(*[F.lit(k) for k in classes])) if classes else F.explode(F.array().cast("array<int>"))
+    rows = df.filter(x.isNotNull() & ~F.isnan(x)).select(*cols, looks.alias("__k"))
+    rows = rows.withColumn("__bin", bin_of(x, F.col("__k")))
+    left = x >= a if closed[0] else x > a
+    right = x <= b if closed[1] else x < b
+    return rows.join(keyed, ["__k", "__bin"]).filter(left & right).select(
+        *cols, *[F.col(f"`{c}`") for c in ranges.columns])
+
+
 def in_open_range(code: str | Column, lo: float, hi: float,
                   closed: tuple[bool, bool] = (False, False)) -> Column:
     """Predicate ``lo < code < hi`` (bounds inclusive per ``closed``)."""
@@ -87,68 +127,112 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def _cells(lat: Column, lon: Column, g: float, nlon: int) -> tuple[Column, Column]:
-    iy = F.floor((lat + F.lit(90.0)) / F.lit(g))
-    ix = F.pmod(F.floor((lon + F.lit(180.0)) / F.lit(g)), F.lit(nlon))
-    return iy, ix
+#: Each level of the pyramid cuts a cell into FAN parts along every axis.
+FAN = 4
+#: Levels at most: the finest cells are about 12 metres wide.
+DEEPEST = 10
+#: Centroids that a cell of the last level holds, unless it is the finest.
+CELL = 8
+#: Bounds are compared with this much room for rounding (squared chords).
+_SLACK, _ROOM = 1.0 + 1e-9, 1e-15
+
+
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """A point of the unit sphere: no seam at the date line, no poles."""
+    la, lo = F.col(lat) * F.lit(DEG2RAD), F.col(lon) * F.lit(DEG2RAD)
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
 
 
-def _auto_cell_deg(cen: DataFrame) -> float:
-    """Twice the even-spread spacing of the centroids, in degrees (0.001..10):
-    about 4 centroids per cell, so about 36 candidates per point."""
-    row = cen.agg(F.count(F.lit(1)).alias("n"),
-                  (F.max("__clat") - F.min("__clat")).alias("dlat"),
-                  (F.max("__clon") - F.min("__clon")).alias("dlon")).first()
-    if not row or not row["n"]:
-        return 1.0
-    area = max(row["dlat"] or 0.0, 1e-3) * max(row["dlon"] or 0.0, 1e-3)
-    return min(10.0, max(1e-3, 2.0 * math.sqrt(area / row["n"])))
+def _cell(level: Column, axes: Sequence[Column]) -> Column:
+    """Number of the cell of a point on a level."""
+    n = F.pow(F.lit(float(FAN)), level)
+    out = F.lit(0).cast("long")
+    for c in axes:
+        at = F.least(F.floor((c + 1) / 2 * n), n.cast("long") - 1)
+        out = out * F.lit(FAN ** DEEPEST) + F.greatest(F.lit(0).cast("long"), at)
+    return out
+
 
+def _pyramid(cen: DataFrame) -> tuple[DataFrame, int]:
+    """Every non-empty cell of every level with its box and its parent cell,
+    and the level on which cells are small (the finest if none is)."""
+    axes = ["__x", "__y", "__z"]
+    at = cen.select(*axes, F.explode(F.sequence(F.lit(1), F.lit(DEEPEST))).alias("level"))
+    cells = at.groupBy("level", _cell(F.col("level"), [F.col(a) for a in axes]).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{b}{a}") for a in axes for f, b in ((F.min, "lo"), (F.max, "hi"))],
+        # the parent's number follows from any point in the cell
+        F.first(_cell(F.col("level") - 1, [F.col(a) for a in axes])).alias("parent"))
+    cells = materialize(cells)
+    fullest = {r["level"]: r["n"] for r in cells.groupBy("level").agg(F.max("n").alias("n")).collect()}
+    small = [k for k, n in sorted(fullest.items()) if n <= CELL]
+    return cells, small[0] if small else DEEPEST
 
-def _split_deg(cen: DataFrame, cell_deg: float, most: int = 32, halvings: int = 12) -> float:
-    """The largest of ``cell_deg, cell_deg / 2, ...`` whose fullest cell holds
-    ``most`` centroids at most (the smallest if none does); one row per size
-    is read on the driver."""
-    sizes = F.explode(F.sequence(F.lit(0), F.lit(halvings))).alias("k")
-    g = F.lit(float(cell_deg)) / F.pow(F.lit(2.0), F.col("k"))
-    cells = (cen.select("__clat", "__clon").distinct().select("__clat", "__clon", sizes)
-                .groupBy("k", F.floor(F.col("__clat") / g).alias("y"), F.floor(F.col("__clon") / g).alias("x"))
-                .agg(F.count(F.lit(1)).alias("n")))
-    rows = sorted((r["k"], r["n"]) for r in cells.groupBy("k").agg(F.max("n").alias("n")).collect())
-    good = [k for k, n in rows if n <= most]
-    return float(cell_deg) / 2 ** (good[0] if good else halvings)
+
+def nearest_candidates(points: DataFrame, cells: DataFrame, depth: int, here: Sequence[str]) -> DataFrame:
+    """``here`` and ``cells``: per point the cells of level ``depth`` that may
+    hold its nearest centroid (branch and bound down the pyramid).
+
+    A point keeps the children of its cells whose smallest possible distance
+    is not above the smallest of their largest possible ones. The first level
+    has 64 cells at most and comes as one array; the others are joined by
+    their parent, and Spark broadcasts a level that is small. The points stay
+    partitioned by their coordinates all the way down.
+    """
+    p = {a: F.col(f"__p{a}") for a in ("x", "y", "z")}
+
+    def bounds(lo, hi):
+        near = far = F.lit(0.0)
+        for a in ("x", "y", "z"):
+            outside = F.greatest(lo(a) - p[a], p[a] - hi(a), F.lit(0.0))
+            reach = F.greatest(F.abs(p[a] - lo(a)), F.abs(p[a] - hi(a)))
+            near, far = near + outside * outside, far + reach * reach
+        return near, far
+
+    def kept(found: Column) -> Column:
+        return let(found, lambda c: let(F.array_min(F.transform(c, lambda s: s["far"])), lambda best: F.transform(
+            F.filter(c, lambda s: s["near"] <= best * F.lit(_SLACK) + F.lit(_ROOM)), lambda s: s["cell"])))
+
+    box = [f"{b}__{a}" for a in ("x", "y", "z") for b in ("lo", "hi")]
+    first = cells.filter("level = 1").agg(F.collect_list(F.struct("cell", *box)).alias("c")).select("c").scalar()
+
+    def opened(s):
+        near, far = bounds(lambda a: s[f"lo__{a}"], lambda a: s[f"hi__{a}"])
+        return F.struct(s["cell"].alias("cell"), near.alias("near"), far.alias("far"))
+
+    carried = [*here, "__px", "__py", "__pz"]
+    frontier = (points.withColumn("__first", first)
+                      .withColumn("cells", kept(F.transform("__first", opened))).drop("__first"))
+    for level in range(2, depth + 1):
+        child = cells.filter(F.col("level") == level).select("parent", F.col("cell").alias("child"), *box)
+        pairs = (frontier.withColumn("__cell", F.explode("cells")).drop("cells")
+                         .join(child, F.col("__cell") == F.col("parent")))
+        near, far = bounds(lambda a: F.col(f"lo__{a}"), lambda a: F.col(f"hi__{a}"))
+        frontier = (pairs.select(*carried, F.struct(F.col("child").alias("cell"), near.alias("near"), far.alias("far")).alias("s"))
+                         .groupBy(*carried).agg(F.collect_list("s").alias("s"))
+                         .select(*carried, kept(F.col("s")).alias("cells")))
+    return frontier
 
 
 def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
-                 area_key: str, lat: str = "lat", lon: str = "lon",
-                 cell_deg: float | str = 0.05, checkpoint: bool = True) -> DataFrame:
-    """Exact nearest centroid (haversine) for every point, as an equi-join.
+                 area_key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Exact nearest centroid (haversine) for every point, by branch and bound.
+
+    The centroids lie in a pyramid of cells on the unit sphere; each cell has
+    the box of its centroids, so a point knows a smallest and a largest
+    distance to each. It goes down only into cells that can hold its nearest
+    centroid (:func:`nearest_candidates`): far away it compares with a few
+    cells, not with their centroids, and in a dense city it meets the few
+    cells around it. The levels end where cells hold at most ``CELL``
+    centroids. The plan is one chain of joins, without a loop over results.
 
     Rows with a NULL or NaN coordinate are dropped. The search runs over the
-    distinct coordinates, so keys may repeat or be NULL and a coordinate that
-    very many points share is one point; its result is joined back to the
-    rows. The first cells are halved until the fullest holds few centroids,
-    so a dense cluster is no product of all pairs. Space is cut into cells of
-    ``g`` degrees (``360 / g`` an integer, longitude wraps). A point meets
-    the centroids of its own and the 8 neighbouring cells; the best of them
-    is certainly the nearest when its distance is at most the distance from
-    the point to anything outside that 3 x 3 block,
-    ``R * min(g, asin(cos(lat) sin(g)))`` (latitude and meridian bounds).
-    Points that are not certified -- no candidate, or a candidate farther
-    than the bound -- go to the next level, whose cells are twice as wide.
-    At the last level the block covers the globe, so every point is
-    resolved exactly. Nothing is capped and no all-pairs product is formed
-    except for points that have no centroid within a quarter of the globe.
-
-    ``cell_deg="auto"`` sizes the first cells from the centroids: twice the
-    side of the square one centroid would get if they were spread evenly over
-    their bounding box (one aggregate row read on the driver). Finer cells
-    mean fewer candidates but more points escalating to the next level.
+    distinct coordinates of both sides, so keys may repeat or be NULL, and a
+    coordinate that very many points share is one point; its result is joined
+    back to the rows. Nothing is capped: points at the same distance from
+    very many cells (a circle of centroids around them) meet all of these.
 
     Ties at equal distance go to the smallest ``area_key``. Returns
-    ``point_key, area_key, dist_km``. Each level's pending points are
-    checkpointed to the session's reliable checkpoint folder, which cuts
-    the lineage of the loop.
+    ``point_key, area_key, dist_km``.
     """
     def placed(df, key, y, x):
         a, b = F.col(lat).cast("double") + F.lit(0.0), F.col(lon).cast("double") + F.lit(0.0)
@@ -157,62 +241,17 @@ def nearest_area(points: DataFrame, centroids: DataFrame, point_key: str,
 
     rows = placed(points, point_key, "__plat", "__plon")
     here = ["__plat", "__plon"]
+    cen = (placed(centroids, area_key, "__clat", "__clon").groupBy("__clat", "__clon")
+           .agg(F.min(F.struct(area_key)).alias("__a")).select("__clat", "__clon", f"__a.{area_key}"))
+    cen = cen.withColumns(dict(zip(("__x", "__y", "__z"), _on_sphere("__clat", "__clon"))))
+    cells, depth = _pyramid(cen)
     pts = rows.select(*here).distinct()
-    cen = placed(centroids, area_key, "__clat", "__clon")
-    if cell_deg == "auto":
-        cell_deg = _auto_cell_deg(cen)
-    cell_deg = _split_deg(cen, float(cell_deg))
-    n0 = max(4, int(math.ceil(360.0 / float(cell_deg))))
-    levels = []
-    nlon = n0
-    while True:
-        levels.append(nlon)
-        if nlon <= 3:
-            break
-        nlon = int(math.ceil(nlon / 2))
-
-    pending = pts
-    done: list[DataFrame] = []
-    for nlon in levels:
-        g = 360.0 / nlon
-        last = nlon <= 3
-        py, px = _cells(F.col("__plat"), F.col("__plon"), g, nlon)
-        probe = pending.select(*here, py.alias("__cy"), px.alias("__cx"))
-        # A point meets a centroid when their cells are neighbours; the relation
-        # is symmetric, so the centroids (the small side) are copied into the 9
-        # cells around their own and the points stay one row each.
-        cy, cx = _cells(F.col("__clat"), F.col("__clon"), g, nlon)
-        offsets = [F.struct((cy + dy).alias("__cy"), F.pmod(cx + dx, F.lit(nlon)).alias("__cx"))
-                   for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        keyed = (cen.select(area_key, "__clat", "__clon",
-                            F.explode(F.array_distinct(F.array(*offsets))).alias("__cell"))
-                    .select(area_key, "__clat", "__clon", F.col("__cell.__cy").alias("__cy"),
-                            F.col("__cell.__cx").alias("__cx")))
-        cand = probe.join(keyed, ["__cy", "__cx"], "inner")
-        dist = haversine_km("__plat", "__plon", "__clat", "__clon")
-        best = (cand.groupBy(*here)
-                    .agg(F.min(F.struct(dist.alias("dist_km"), F.col(area_key).alias(area_key)))
-                         .alias("__best")))
-        if checkpoint and not last:
-            # computed once: feeds both this level's output and the next level's input
-            best = materialize(best)
-        if last:
-            certified = best
-        else:
-            g_rad = g * DEG2RAD
-            lon_bound = F.asin(F.cos(F.col("__plat") * F.lit(DEG2RAD)) * F.lit(math.sin(g_rad)))
-            bound = F.lit(EARTH_RADIUS_KM) * F.least(F.lit(g_rad), lon_bound)
-            certified = best.filter(F.col("__best.dist_km") <= bound)
-        done.append(certified.select(*here, F.col(f"__best.{area_key}").alias(area_key),
-                                     F.col("__best.dist_km").alias("dist_km")))
-        if last:
-            break
-        pending = pending.join(certified.select(*here), here, "left_anti")
-        if checkpoint:
-            pending = materialize(pending)
-            if pending.isEmpty():
-                break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    pts = pts.withColumns(dict(zip(("__px", "__py", "__pz"), _on_sphere(*here))))
+    found = nearest_candidates(pts, cells, depth, here)
+    # an empty table of centroids leaves the array NULL, and no row
+    pairs = found.select(*here, F.explode("cells").alias("__cell")).join(
+        cen.withColumn("__cell", _cell(F.lit(depth), [F.col(a) for a in ("__x", "__y", "__z")])), "__cell")
+    dist = haversine_km("__plat", "__plon", "__clat", "__clon")
+    best = pairs.groupBy(*here).agg(F.min(F.struct(dist.alias("dist_km"), F.col(area_key).alias("__area"))).alias("__best"))
+    out = best.select(*here, F.col("__best.__area").alias(area_key), F.col("__best.dist_km").alias("dist_km"))
     return rows.join(out, here, "inner").select(point_key, area_key, "dist_km")

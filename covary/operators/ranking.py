@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.operators._util import Cols, as_list, null_safe_join
+from covary.operators._util import Cols, as_list
+from covary.operators.sized import guarded_join
 
 
 def top_k(df: DataFrame, keys: Cols, measure: str, k: int,
@@ -25,14 +26,15 @@ def top_k(df: DataFrame, keys: Cols, measure: str, k: int,
 def keep_top(df: DataFrame, top: DataFrame, keys: Cols) -> DataFrame:
     """Rows of ``df`` whose keys occur in ``top`` (NULL matches NULL).
 
-    ``top`` must be a bounded selection -- a top-k result or another list of
-    known small size -- because it is broadcast to every task. It is an inner
+    ``top`` is meant to be a bounded selection, such as a top-k result. It is
+    broadcast when it is measured to be small, and joined by a salted shuffle
+    otherwise (:func:`covary.operators.sized.guarded_join`). It is an inner
     join against the distinct keys (the same rows as a semi-join): Catalyst
     pushes a semi-join below an aggregate of ``df``, which would stop that
     aggregate from being shared with the branch that computed ``top``.
     """
     keys = as_list(keys)
-    joined = null_safe_join(df, F.broadcast(top.select(*keys).distinct()), keys, "inner")
+    joined = guarded_join(df, top.select(*keys).distinct(), keys, "inner")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.operators._util import Cols, as_list, null_safe_join
+from covary.functions.stats import let
+from covary.operators._util import Cols, as_list
 
 
 def lag_features(df: DataFrame, series: Cols, order: str, col: str,
@@ -57,85 +56,97 @@ def min_max_scale(df: DataFrame, by: Cols, cols: Sequence[str], lo: float = -1.0
     return df.withColumns(out)
 
 
+#: What must remain of a feature's sum of squares, beside the features taken
+#: before it, for the feature to get a coefficient of its own.
+TOLERANCE = 1e-9
+
+
+def _solved(size: int, tolerance: float) -> Column:
+    """Least-squares coefficients from ``__xx_i_j`` and ``__xy_i`` (centred
+    sums): a sweep over the moment row, in column expressions.
+
+    At each step the feature with the largest share of its own sum of squares
+    left (the first of equal ones) is swept out of the others. Features that
+    have ``tolerance`` or less left are linear in the ones taken, or constant,
+    and get the coefficient 0.
+    """
+    rows = [F.array(*[F.col(f"__xx_{min(i, j)}_{max(i, j)}") for j in range(size)], F.col(f"__xy_{i}")) for i in range(size)]
+    own = F.array(*[F.col(f"__xx_{i}_{i}") for i in range(size)])
+    free = F.array(*[F.lit(True)] * size)
+
+    def step(state, _):
+        left = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(
+            F.get(state["free"], i) & (F.get(own, i) > 0),
+            F.get(F.get(state["m"], i), i) / F.get(own, i)).otherwise(F.lit(-1.0)))
+        best = let(left, lambda x: F.struct(F.array_max(x).alias("left"), (F.array_position(x, F.array_max(x)) - 1).cast("int").alias("k")))
+
+        def sweep(b):
+            pivot = F.get(state["m"], b["k"])
+            return let(F.struct(b["k"].alias("k"), F.transform(pivot, lambda v: v / F.get(pivot, b["k"])).alias("row")),
+                       lambda p: F.struct(
+                           F.transform(state["m"], lambda row, i: F.when(i == p["k"], p["row"]).otherwise(
+                               F.zip_with(row, p["row"], lambda v, q: v - F.get(row, p["k"]) * q))).alias("m"),
+                           F.transform(state["free"], lambda f, i: f & (i != p["k"])).alias("free")))
+        return let(best, lambda b: F.when(b["left"] > F.lit(tolerance), sweep(b)).otherwise(state))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.struct(F.array(*rows).alias("m"), free.alias("free")), step,
+                       lambda s: F.zip_with(s["m"], s["free"], lambda row, f: F.when(f, F.lit(0.0)).otherwise(F.get(row, size))))
+
+
 def lag_forecast(df: DataFrame, series: Cols, order: str, y: str,
-                 features: Sequence[str], frac: float = 0.8,
-                 materialize_split: bool = True) -> DataFrame:
+                 features: Sequence[str], frac: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
     """Linear forecast of ``y`` from ``features`` per series, fitted on the
     first ``frac`` of the rows in ``order`` and scored on the rest.
 
-    The fit needs only the means and the centred cross-products of
-    (features, y) over the training rows: grouped aggregates give them for
-    all series. The small solve (p x p, p = number of features) runs in
-    ``mapInPandas`` over those moment rows, one row per series. Holdout rows are scored by a join with
-    the coefficients. Returns ``series, n_train, n_test, mse, b_*``: one row
-    per series, a NULL key among them; a series without training rows has NULL
-    coefficients and error.
+    One shuffle by series serves everything: the split and the training
+    means are windows over it, and one aggregate gives the centred moments of
+    the training rows and of the holdout. The solve (:func:`_solved`) and the
+    holdout error, a quadratic form in the coefficients, are expressions on
+    that one row per series. A row without a value or a feature takes part in
+    neither fit nor score. Returns ``series, n_train, n_test, mse, b_*``: one
+    row per series, a NULL key among them; a series without training rows has
+    NULL coefficients and error.
     """
     keys = as_list(series)
-    split = chronological_split(df, keys, order, frac)
-    if materialize_split:
-        # read twice below (training moments, holdout scoring): computed once
-        from covary.session import materialize
-        split = materialize(split)
-    names = ["intercept", *features]
+    p = len(features)
+    split = chronological_split(df, keys, order, frac, "__rn", "__rows", "__train")
     yc = F.col(y).cast("double")
-    # a row without a value or a feature takes part in neither fit nor score
     full = yc.isNotNull()
     for f in features:
         full = full & F.col(f).isNotNull()
-    train = split.filter(F.col("is_train") & full)
-    # Centre on the per-series training means first: lagged indicators are
-    # large and nearly collinear, and centred cross-products keep the normal
-    # equations well conditioned. The intercept follows from the means.
-    means = train.groupBy(*keys).agg(F.avg(yc).alias("__my"),
-                                     *[F.avg(F.col(f).cast("double")).alias(f"__m{i}")
-                                       for i, f in enumerate(features)])
-    tc = null_safe_join(train, means, keys, "inner")
-    xs = [F.col(f).cast("double") - F.col(f"__m{i}") for i, f in enumerate(features)]
-    ys = yc - F.col("__my")
-    aggs = [F.count(F.lit(1)).alias("n_train"), F.first("__my").alias("__my"),
-            *[F.first(f"__m{i}").alias(f"__m{i}") for i in range(len(features))]]
-    for i in range(len(xs)):
-        aggs.append(F.sum(xs[i] * ys).alias(f"__xy_{i}"))
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"__xx_{i}_{j}"))
-    # a series without a training row keeps its place, with no coefficients
-    mom = null_safe_join(split.select(*keys).distinct(), tc.groupBy(*keys).agg(*aggs), keys, "left").fillna(0, ["n_train"])
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                           for f in mom.schema.fields if f.name in keys)
-    out_schema = f"{key_schema}, n_train bigint, " + ", ".join(f"b_{n} double" for n in names)
-    p = len(features)
-
-    def solve(batches):
-        # Least squares for every moment row of a batch at once: (X'X) b = X'y
-        # on centred data, with the minimum-norm (pseudo-inverse) solution so
-        # a singular design (too few rows, a constant lag) still gets
-        # coefficients. Defined here so it is shipped by value: workers need
-        # numpy and pandas only.
-        for pdf in batches:
-            m = len(pdf)
-            xtx = np.empty((m, p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    xtx[:, i, j] = xtx[:, j, i] = pdf[f"__xx_{i}_{j}"].to_numpy(dtype=float)
-            xty = np.stack([pdf[f"__xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
-            coef, known = np.full((m, p), np.nan), np.isfinite(xtx).all(axis=(1, 2)) & np.isfinite(xty).all(axis=1)
-            if known.any():
-                coef[known] = np.einsum("mij,mj->mi", np.linalg.pinv(xtx[known]), xty[known])
-            mx = np.stack([pdf[f"__m{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
-            intercept = pdf["__my"].to_numpy(dtype=float) - (coef * mx).sum(axis=1)
-            out = pdf[keys + ["n_train"]].copy()
-            out["b_intercept"] = pd.Series(intercept, index=pdf.index, dtype="float64")
-            for i, name in enumerate(features):
-                out[f"b_{name}"] = pd.Series(coef[:, i], index=pdf.index, dtype="float64")
-            yield out
-
-    coef = mom.mapInPandas(solve, out_schema)
-    test = split.filter(~F.col("is_train") & full)
-    pred = F.col("b_intercept")
-    for f in features:
-        pred = pred + F.col(f"b_{f}") * F.col(f).cast("double")
-    scored = null_safe_join(test, coef, keys, "inner").withColumn("__err", (pred - yc) * (pred - yc))
-    errs = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg("__err").alias("mse"))
-    return null_safe_join(coef, errs, keys, "left").select(*keys, "n_train", F.coalesce("n_test", F.lit(0)).alias("n_test"),
-                                                "mse", *[f"b_{n}" for n in names])
+    whole = Window.partitionBy(*keys)
+    fit = F.col("__train") & full
+    # centred on the means of the training rows: lagged indicators are large
+    # and nearly collinear, and centred products keep the solve well conditioned
+    named = [yc, *[F.col(f).cast("double") for f in features]]
+    means = {f"__m{i}": F.avg(F.when(fit, c)).over(whole) for i, c in enumerate(named)}
+    rows = split.withColumns({"__full": full, **{f"__v{i}": c for i, c in enumerate(named)}}).withColumns(means)
+    v = [F.col(f"__v{i}") - F.col(f"__m{i}") for i in range(p + 1)]
+    train, test = F.col("__train") & F.col("__full"), ~F.col("__train") & F.col("__full")
+    aggs = [F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(test, 1)).alias("n_test"),
+            *[F.max(f"__m{i}").alias(f"__m{i}") for i in range(p + 1)]]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    aggs += [F.sum(F.when(train, v[i] * v[j])).alias(f"__f_{i}_{j}") for i, j in pairs if j]
+    aggs += [F.sum(F.when(test, v[i] * v[j])).alias(f"__t_{i}_{j}") for i, j in pairs]
+    moments = rows.groupBy(*keys).agg(*aggs)
+    # y is number 0, the features 1 to p
+    moments = moments.select(*[F.col(f"`{k}`") for k in keys], "n_train", "n_test", *[f"__m{i}" for i in range(p + 1)],
+                             *[F.col(f"__f_0_{i + 1}").alias(f"__xy_{i}") for i in range(p)],
+                             *[F.col(f"__f_{i + 1}_{j + 1}").alias(f"__xx_{i}_{j}") for i in range(p) for j in range(i, p)],
+                             *[f"__t_{i}_{j}" for i, j in pairs])
+    solved = moments.withColumn("__b", F.when(F.col("n_train") > 0, _solved(p, tolerance)))
+    # one expression feeds several columns: a generator keeps it from being repeated in each
+    solved = solved.withColumn("__b", F.explode(F.array("__b")))
+    b = [F.get("__b", i) for i in range(p)]
+    # residual = y - b x, squared and summed over the holdout
+    error = F.col("__t_0_0")
+    for i in range(p):
+        error = error - F.lit(2.0) * b[i] * F.col(f"__t_0_{i + 1}")
+        for j in range(p):
+            error = error + b[i] * b[j] * F.col(f"__t_{min(i, j) + 1}_{max(i, j) + 1}")
+    intercept = F.col("__m0")
+    for i in range(p):
+        intercept = intercept - b[i] * F.col(f"__m{i + 1}")
+    mse = F.when((F.col("n_test") > 0) & F.col("__b").isNotNull(), F.greatest(F.lit(0.0), error) / F.greatest("n_test", F.lit(1)))
+    return solved.select(*[F.col(f"`{k}`") for k in keys], "n_train", "n_test", mse.alias("mse"),
+                         intercept.alias("b_intercept"), *[c.alias(f"b_{f}") for c, f in zip(b, features)])

@@ -18,7 +18,6 @@ from covary.functions.stats import (
     MACHINE_EPSILON,
     safe_div,
     safe_sqrt,
-    t_cdf,
     t_two_sided_p,
 )
 from covary.operators._util import Cols, as_list, null_safe_join
@@ -241,13 +240,13 @@ def directional_screen(mom: DataFrame, group: Cols, max_p: float | None = 0.05)
            / F.greatest(n - 2, F.lit(1)).cast("double"))
     se = F.sqrt(sse / (F.col("sxx") + eps))
     staged = staged.withColumn("t_stat", F.col("slope") / (se + eps))
-    # The CDF (a series per row) is computed below the window: the window is a
-    # barrier for filter push-down, so the p filter reads this column instead
-    # of re-evaluating the series.
-    staged = staged.withColumn("__cdf", t_cdf(F.col("t_stat"), n - 2)).withColumn("k", k)
-    cdf = F.col("__cdf")
-    p = F.when(F.col("slope") < 0, cdf * F.col("k")).otherwise((F.lit(1.0) - cdf) * F.col("k"))
-    res = staged.select("*", p.alias("p_value"), correlation_expr().alias("corr")).drop("__cdf")
+    # The tail is computed below the window: the window is a barrier for
+    # filter push-down, so the p filter reads this column instead of computing
+    # it a second time. t has the sign of the slope, so the tail in the
+    # direction of the slope is half the two-sided one.
+    staged = staged.withColumn("__tail", t_two_sided_p("t_stat", n - 2) / 2).withColumn("k", k)
+    res = staged.select("*", (F.col("__tail") * F.col("k")).alias("p_value"),
+                        correlation_expr().alias("corr")).drop("__tail")
     if max_p is not None:
         res = res.filter(F.col("p_value") < F.lit(float(max_p)))
     return res
@@ -259,35 +258,64 @@ def category_screen(df: DataFrame, group: str, period: str,
     """Which categories track the monthly total of each large group?
 
     ``df`` holds one row per event with ``group``, ``period`` and the
-    dimension columns. Steps, all in one plan:
-
-    1. counts per (group, period, every dimension value) -- the only pass
-       over the events, combined map-side; these rows number (groups x
-       periods x value combinations), independent of the event count, and
-       every later step reads this one shuffle output (reused exchange);
-    2. totals per (group, period), per-(group, period, dimension, category)
-       counts, zero-filled moments of (category count, total) over the
-       periods of the group (no grid is built) and the per-group test;
-    3. the ``top`` groups by total (from the same totals) restrict the
-       small result at the end, so the fact scan is not repeated for the
-       top-k selection.
-
-    Returns ``group, dimension, category, n, k, slope, t_stat, p_value, corr``.
+    dimension columns. The total is counted as one more dimension, so:
+
+    1. one count per (group, period, dimension, category), combined map-side:
+       its shuffle is bounded by the sum of the dimensions' categories times
+       groups and periods, not by their product nor by the events;
+    2. these cells are dealt by group, and that one partitioning serves the
+       totals (a window per period), the sums of every (category, total) pair
+       in DECIMAL, the number of tests ``k`` and the group's total;
+    3. a group is now one row with its categories in an array; the ``top``
+       groups are a sorted limit, and the test runs inside the array.
+
+    There is no join and no second pass. Returns ``group, dimension,
+    category, n, k, slope, t_stat, p_value, corr``; see
+    :func:`directional_screen` for the test.
     """
-    from covary.operators.counts import combination_counts, unpivot_dimensions
-    from covary.operators.ranking import keep_top, top_k
-
-    g = group
-    dims = list(dims)
-    combo = combination_counts(df, g, period, dims, "__n")
-    totals = combo.groupBy(g, period).agg(F.sum("__n").alias("__y"))
-    cells = unpivot_dimensions(combo, g, period, dims, "__n")
-    mom = zero_filled_moments(totals, cells, [g], period, ["dimension", "category"],
-                              dense_value="__y", sparse_value="__n", dense_role="y",
-                              center=False)
-    res = directional_screen(mom, [g], max_p)
+    from covary.operators.counts import dimension_counts
+
+    g = F.col(group)
+    cells = dimension_counts(df, group, period, dims, "__x").repartition(g)
+    x = F.col("__x").cast("decimal(18,0)")
+    is_total = F.col("dimension").isNull()
+    y = F.max(F.when(is_total, x)).over(Window.partitionBy(group, period))
+    cells = cells.select(g, "dimension", "category", x.alias("__x"), y.alias("__y"))
+    sums = cells.groupBy(group, "dimension", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__x").alias("sx"),
+        F.sum(F.col("__x") * F.col("__x")).alias("sxx"), F.sum(F.col("__x") * F.col("__y")).alias("sxy"))
+    one = F.struct("dimension", "category", "sx", "sxx", "sxy")
+    total = F.max(F.when(is_total, F.struct("n", "sx", "sxx")))
+    groups = sums.groupBy(group).agg(F.collect_list(F.when(~is_total, one)).alias("__c"), total.alias("__t"))
     if top is not None:
-        ranked = top_k(totals.groupBy(g).agg(F.sum("__y").alias("__total")), [g], "__total", top)
-        res = keep_top(res, ranked, [g])
-    return res.select(g, "dimension", "category", "n", "k", "slope", "t_stat",
-                      "p_value", "corr")
+        groups = groups.orderBy(F.col("__t.sx").desc(), g.asc_nulls_first()).limit(top)
+
+    t, k = F.col("__t"), F.size("__c")
+    n, eps = t["n"], F.lit(MACHINE_EPSILON)
+    whole, big = n.cast("decimal(12,0)").cast("decimal(38,0)"), "decimal(38,0)"
+
+    def centred(square, a, b):
+        return (whole * square.cast(big) - a.cast(big) * b.cast(big)).cast("double") / n.cast("double")
+
+    def added(array, **new):
+        """The structs of ``array`` with further fields, each computed once."""
+        names = fields + list(new)
+        out = F.transform(array, lambda s: F.struct(*[s[f].alias(f) for f in fields], *[f(s).alias(c) for c, f in new.items()]))
+        fields[:] = names
+        return out
+
+    fields = ["dimension", "category"]
+    c = added(F.col("__c"), sxx=lambda s: centred(s["sxx"], s["sx"], s["sx"]),
+              sxy=lambda s: centred(s["sxy"], s["sx"], t["sx"]), syy=lambda s: centred(t["sxx"], t["sx"], t["sx"]))
+    c = added(c, slope=lambda s: F.coalesce(safe_div(s["sxy"], s["sxx"]), F.lit(0.0)))
+    c = added(c, sse=lambda s: F.greatest(F.lit(0.0), s["syy"] - s["slope"] * s["sxy"])
+              / F.greatest(n - 2, F.lit(1)).cast("double"))
+    c = added(c, t_stat=lambda s: s["slope"] / (F.sqrt(s["sse"] / (s["sxx"] + eps)) + eps))
+    c = added(c, p_value=lambda s: t_two_sided_p(s["t_stat"], n - 2) / 2 * k,
+              corr=lambda s: correlation_expr(s["sxx"], s["syy"], s["sxy"]))
+    res = groups.select(g, n.alias("n"), k.cast("bigint").alias("k"), F.explode(c).alias("__r"))
+    res = res.select(group, "__r.dimension", "__r.category", "n", "k", "__r.slope", "__r.t_stat",
+                     "__r.p_value", "__r.corr")
+    if max_p is not None:
+        res = res.filter(F.col("p_value") < F.lit(float(max_p)))
+    return res

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covary.functions import (
@@ -48,12 +48,16 @@ from covary.operators import (
     ordered_series,
     period_counts,
     pivot_counts,
+    range_join,
     rank_within,
     score_linear,
     slope_test,
     summary_stats,
     top_k,
+    wide,
     with_indicator,
+    with_line_number,
+    with_position,
     zero_filled_moments,
 )
 from covary.operators._util import null_safe_join, rounded, rounded_sig
@@ -61,7 +65,7 @@ from covary.operators.counts import zero_filled_cells
 from covary.plans import fixtures as fx
 from covary.plans import sqlparts as S
 from covary.session import materialize
-from covary.sources import parse_json_column, read_events, read_indicator, union_all, write_table
+from covary.sources import ingest, parse_json_column, read_events, read_indicator, union_all, write_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -134,16 +138,16 @@ s2 AS (SELECT *, slope / (sqrt(sse / (sxx + {EPS})) + {EPS}) AS t_stat FROM s1),
 s3 AS (SELECT *, {S.t_cdf('t_stat', 'n - 2')} AS cdf FROM s2),
 s4 AS (SELECT *, CASE WHEN slope < 0 THEN cdf * k ELSE (1.0::DOUBLE - cdf) * k END AS p_value,
   {S.corr()} AS corr FROM s3)
-SELECT p_brand, dimension, category, n, k, {S.rnd_sig('slope')} AS slope, {S.rnd_sig('t_stat')} AS t_stat,
+SELECT *, row_number() OVER (ORDER BY p_brand NULLS FIRST, p_value, corr NULLS FIRST, dimension, category NULLS FIRST) AS rank
+FROM (SELECT p_brand, dimension, category, n, k, {S.rnd_sig('slope')} AS slope, {S.rnd_sig('t_stat')} AS t_stat,
   {S.rnd('p_value')} AS p_value, {S.rnd('corr')} AS corr
-FROM s4 WHERE p_value < 0.05
+FROM s4 WHERE p_value < 0.05)
 """)
 def q_category_screen(spark, sf):
     res = category_screen(_fact_a_keys(spark, sf), "p_brand", "period", fx.DIMS_A, top=10, max_p=0.05)
+    out = res.select("p_brand", "dimension", "category", "n", "k", rs("slope"), rs("t_stat"), r("p_value"), r("corr"))
     # within a group, most significant first (p, then r), as the reference reports them
-    return (res.orderBy("p_brand", "p_value", "corr")  # by the value itself, not the rounded one
-               .select("p_brand", "dimension", "category", "n", "k", rs("slope"), rs("t_stat"),
-                       r("p_value"), r("corr")))
+    return with_position(out, ["p_brand", "p_value", "corr", "dimension", "category"], "rank", start=1)
 
 
 # --------------------------------------------------------------------------
@@ -254,15 +258,40 @@ def _pivot_sql(sanitize: bool) -> str:
     return f"SELECT {S.month('o_orderdate')} AS period, {cols} FROM orders GROUP BY 1"
 
 
-@query("pivot_counts", _pivot_sql(False))
-def q_pivot_counts(spark, sf):
+def _pivoted(spark, sf):
     fb = fx.fact_b(spark, sf).select(month_start("o_orderdate").alias("period"), "o_orderpriority")
-    return pivot_counts(fb, "period", "o_orderpriority").orderBy("period")
+    return pivot_counts(fb, "period", "o_orderpriority")
+
+
+@query("pivot_counts", f"SELECT *, row_number() OVER (ORDER BY period) AS rank FROM ({_pivot_sql(False)})")
+def q_pivot_counts(spark, sf):
+    return with_position(_pivoted(spark, sf), ["period"], "rank", start=1)
 
 
 @query("sanitized_pivot", _pivot_sql(True))
 def q_sanitized_pivot(spark, sf):
-    return sanitize_columns(q_pivot_counts(spark, sf))
+    return sanitize_columns(_pivoted(spark, sf))
+
+
+#: Labels that no plain column name can be: NULL and the text for it, case
+#: alone between two, dots, and the name of the period's own column.
+LABELS = [None, "Theft", "THEFT", "(null)", "period", "F.C.A. x"]
+LABEL_COLUMNS = {None: "(null)", "(null)": "(null)_2", "F.C.A. x": "F.C.A. x", "THEFT": "THEFT", "Theft": "Theft_2",
+                 "period": "period_2"}
+
+
+def _label_sql() -> str:
+    label = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS) if x) + " END"
+    cols = ", ".join(f"COUNT(*) FILTER (WHERE l IS NOT DISTINCT FROM {'NULL' if x is None else repr(x)}) AS \"{name}\""
+                     for x, name in LABEL_COLUMNS.items())
+    return f"SELECT period, {cols} FROM (SELECT {S.month('o_orderdate')} AS period, {label} AS l FROM orders) GROUP BY period"
+
+
+@query("labelled_pivot", _label_sql())
+def q_labelled_pivot(spark, sf):
+    label = F.get(F.array(*[F.lit(x).cast("string") for x in LABELS]), (F.col("o_orderkey") % 6).cast("int"))
+    fb = fx.fact_b(spark, sf).select(month_start("o_orderdate").alias("period"), label.alias("label"))
+    return pivot_counts(fb, "period", "label")
 
 
 @query("pivot_indicator_join", f"""
@@ -271,10 +300,8 @@ SELECT pv.*, {S.rnd('ind.indicator', 6)} AS indicator FROM pv JOIN ind ON pv.per
 """)
 def q_pivot_indicator_join(spark, sf):
     cells, ind = _fb_cells_dense(spark, sf)
-    wide = cells.groupBy("period").pivot("category").agg(F.sum("n"))
-    wide = sanitize_columns(wide.select("period", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c)
-                                                    for c in wide.columns if c != "period"]))
-    return wide.join(ind, "period", "inner").withColumn("indicator", rounded("indicator", 6))
+    table = sanitize_columns(wide(cells, "period", "category", "n"))
+    return table.join(ind, "period", "inner").withColumn("indicator", rounded("indicator", 6))
 
 
 # --------------------------------------------------------------------------
@@ -425,15 +452,14 @@ def _fb_moments(spark, sf):
 
 @query("category_indicator_corr", f"""
 WITH {SQL_FB_GRID}
-SELECT category, n, corr, CAST(row_number() OVER (ORDER BY corr DESC NULLS LAST, category) AS INTEGER) AS rank
+SELECT category, n, corr, row_number() OVER (ORDER BY corr DESC NULLS LAST, category) AS rank
 FROM (SELECT category, n, {S.rnd(S.corr())} AS corr FROM mom)
 """)
 def q_category_indicator_corr(spark, sf):
     mom = _fb_moments(spark, sf)
     order = [F.col("corr").desc_nulls_last(), F.col("category")]
-    # one row per category: the rank needs no partition
-    return (mom.select("category", "n", rounded(correlation_expr(), 8).alias("corr"))
-               .withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank"))
+    out = mom.select("category", "n", rounded(correlation_expr(), 8).alias("corr"))
+    return with_position(out, order, "rank", start=1)
 
 
 SQL_YEAR_CASES = """
@@ -496,6 +522,28 @@ def q_code_range_corr(spark, sf):
         .select("range_lo", "range_hi", "bucket", "n", r("corr"))
 
 
+SQL_RANGE_TABLE = ("rng AS (SELECT n_nationkey * 2 AS range_lo, n_nationkey * 2 + (n_nationkey % 7) * 4 AS range_hi, "
+                   "n_name AS range_label FROM nation)")
+
+
+@query("range_table_counts", f"""
+WITH {SQL_RANGE_TABLE},
+f AS (SELECT range_label, range_lo, range_hi, CAST(year(l_shipdate) AS INTEGER) AS year
+  FROM {fx.SQL_FACT_A} JOIN rng ON p_size >= range_lo AND p_size <= range_hi)
+SELECT range_label, range_lo, range_hi, year, COUNT(*) AS n FROM f GROUP BY ALL
+""")
+def q_range_table_counts(spark, sf):
+    # a table of overlapping ranges of many widths; parts are matched before the facts
+    nation = fx.table(spark, sf, "nation")
+    ranges = nation.select((F.col("n_nationkey") * 2).alias("range_lo"),
+                           (F.col("n_nationkey") * 2 + F.col("n_nationkey") % 7 * 4).alias("range_hi"),
+                           F.col("n_name").alias("range_label"))
+    parts = range_join(fx.table(spark, sf, "part").select("p_partkey", "p_size"), ranges, "p_size", "range_lo", "range_hi")
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_shipdate")
+    hits = li.join(parts, li.l_partkey == parts.p_partkey, "inner")
+    return period_counts(hits, ["range_label", "range_lo", "range_hi", F.year("l_shipdate").alias("year")], "n")
+
+
 SQL_OPEN_RANGE = f"""
 WITH {fx.SQL_AREA},
 cases AS (SELECT s_nationkey AS area, COUNT(*) AS case_count FROM {fx.SQL_FACT_A_AREAS}
@@ -550,6 +598,26 @@ def q_area_cost_corr(spark, sf):
     return correlation_by(_area_cases(spark, sf), None, "case_count", "cost").select("n", r("corr"))
 
 
+@query("segment_cost_corr", f"""
+WITH cost AS (SELECT c_nationkey AS area, CAST(SUM(CAST(c_acctbal AS DECIMAL(26,8))) AS DOUBLE) / COUNT(c_acctbal) AS cost
+  FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
+cases AS (SELECT c_nationkey AS area, COUNT(*) AS case_count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+j AS (SELECT * FROM cases JOIN cost USING (area))
+SELECT CAST(regr_count(cost, case_count) AS BIGINT) AS n,
+  {S.rnd(S.corr('regr_sxx(cost, case_count)', 'regr_syy(cost, case_count)', 'regr_sxy(cost, case_count)'))} AS corr
+FROM j
+""")
+def q_segment_cost_corr(spark, sf):
+    # the mean per area over the rows of one kind only, then the cases of the area
+    customer = fx.table(spark, sf, "customer")
+    cost = (customer.filter(F.col("c_mktsegment") == "BUILDING").groupBy(F.col("c_nationkey").alias("area"))
+                    .agg(fx.exact_mean("c_acctbal").alias("cost")))
+    per_cust = period_counts(fx.fact_b(spark, sf), ["o_custkey"], "__c")
+    cases = (per_cust.join(customer.select("c_custkey", "c_nationkey"), per_cust.o_custkey == F.col("c_custkey"), "inner")
+                     .groupBy(F.col("c_nationkey").alias("area")).agg(F.sum("__c").alias("case_count")))
+    return correlation_by(cases.join(cost, "area", "inner"), None, "case_count", "cost").select("n", r("corr"))
+
+
 # The composite-index weights of the reference, in column order.
 INDEX_WEIGHTS = {"l_quantity": 0.15, "l_discount": 0.4, "l_tax": 0.7,
                  "l_linenumber": 1.0, "l_extendedprice": 1.5}
@@ -738,9 +806,43 @@ def q_min_max_scale(spark, sf):
     return scaled.select("p_brand", "period", *[r(f"{c}_scaled") for c in cols])
 
 
-@query("lag_forecast")
+FORECAST = ["u_0", "u_1", "u_2", "u_3"]
+
+
+def _forecast_sql() -> str:
+    fs = FORECAST
+    mean = ", ".join(f"AVG({f}) AS m_{f}" for f in fs)
+    rows = ", ".join("[" + ", ".join(f"SUM(({f} - m_{f}) * ({g} - m_{g}))" for g in fs) + f", SUM(({f} - m_{f}) * (cases - m_y))]" for f in fs)
+    own = ", ".join(f"SUM(({f} - m_{f}) * ({f} - m_{f}))" for f in fs)
+    icept = "m_y - " + " - ".join(f"b{i} * m_{f}" for i, f in enumerate(fs, 1))
+    error = "cases - b0 - " + " - ".join(f"b{i} * {f}" for i, f in enumerate(fs, 1))
+    same = "IS NOT DISTINCT FROM"
+    return f"""
+WITH {SQL_LAGS}, {SQL_TOP10},
+tl AS (SELECT lg.* FROM lg JOIN top ON lg.p_brand {same} top.p_brand),
+sp AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY period)
+  <= floor(COUNT(*) OVER (PARTITION BY p_brand) * 0.8::DOUBLE) AS is_train FROM tl),
+mu AS (SELECT p_brand, COUNT(*) AS n_train, AVG(cases) AS m_y, {mean} FROM sp WHERE is_train GROUP BY p_brand),
+s0 AS (SELECT sp.p_brand, [{rows}] AS m, [{own}] AS own, [{', '.join(['true'] * len(fs))}] AS free
+  FROM sp JOIN mu ON sp.p_brand {same} mu.p_brand WHERE is_train GROUP BY sp.p_brand),
+{S.solve_select(len(fs), 1e-9, 'p_brand')},
+co AS (SELECT solved.*, n_train, {icept} AS b0 FROM solved JOIN mu ON solved.p_brand {same} mu.p_brand),
+er AS (SELECT sp.p_brand, COUNT(*) AS n_test, AVG(({error}) * ({error})) AS mse
+  FROM sp JOIN co ON sp.p_brand {same} co.p_brand WHERE NOT is_train GROUP BY sp.p_brand),
+al AS (SELECT p_brand, COUNT(*) FILTER (WHERE NOT is_train) AS n_test FROM sp GROUP BY p_brand)
+SELECT al.p_brand, COALESCE(n_train, 0) AS n_train, al.n_test, {S.rnd_sig('mse', 8)} AS mse, {S.rnd_sig('b0', 8)} AS b_intercept,
+  {', '.join(f"{S.rnd_sig(f'b{i}', 8)} AS b_{f}" for i, f in enumerate(fs, 1))}
+FROM al LEFT JOIN co ON al.p_brand {same} co.p_brand LEFT JOIN er ON al.p_brand {same} er.p_brand
+"""
+
+
+@query("lag_forecast", _forecast_sql())
 def q_lag_forecast(spark, sf):
-    return lag_forecast(_lags(spark, sf), "p_brand", "period", "cases", ["u_0", "u_1", "u_2", "u_3"], 0.8)
+    lags = _lags(spark, sf)
+    # the ten brands with the most cases; their totals come from the same monthly counts
+    top = top_k(_brand_months(spark, sf).groupBy("p_brand").agg(F.sum("cases").alias("total")), ["p_brand"], "total", 10)
+    out = lag_forecast(keep_top(lags, top, ["p_brand"]), "p_brand", "period", "cases", FORECAST, 0.8)
+    return out.select("p_brand", "n_train", "n_test", rs("mse", 8), rs("b_intercept", 8), *[rs(f"b_{f}", 8) for f in FORECAST])
 
 
 # --------------------------------------------------------------------------
@@ -800,11 +902,59 @@ b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY dist_km, s_su
 SELECT c_custkey, s_suppkey, {S.rnd('dist_km', 6)} AS dist_km FROM b WHERE rn = 1
 """)
 def q_nearest_area_join(spark, sf):
-    res = nearest_area(_points(spark, sf), _centroids(spark, sf), "c_custkey", "s_suppkey",
-                       cell_deg=0.05)
+    res = nearest_area(_points(spark, sf), _centroids(spark, sf), "c_custkey", "s_suppkey")
     return res.select("c_custkey", "s_suppkey", r("dist_km", 6))
 
 
+def _placed_sql(key: str, a: int, b: int) -> tuple[str, str]:
+    """Coordinates from a key; every 11th row has no latitude."""
+    return (f"CASE WHEN {key} % 11 <> 0 THEN 40.5::DOUBLE + (({key} * {a}) % 1000) / 2000.0::DOUBLE END",
+            f"-74.25::DOUBLE + (({key} * {b}) % 1000) / 1400.0::DOUBLE")
+
+
+def _placed(key: str, a: int, b: int) -> list:
+    return [F.when(F.col(key) % 11 != 0, F.lit(40.5) + F.pmod(F.col(key) * a, F.lit(1000)) / F.lit(2000.0)).alias("lat"),
+            (F.lit(-74.25) + F.pmod(F.col(key) * b, F.lit(1000)) / F.lit(1400.0)).alias("lon")]
+
+
+CASE_PLACE, PART_PLACE = ("o_orderkey", 7919, 104729), ("p_partkey", 6151, 3571)
+AREA_WEIGHTS = {"p_size": 0.15, "p_retailprice": 0.4}
+_AREA_INDEX = ("(COALESCE(CAST(p_size AS DOUBLE), 0.0::DOUBLE) * 0.15::DOUBLE + COALESCE(CAST(p_retailprice AS DOUBLE), 0.0::DOUBLE) * 0.4::DOUBLE)"
+               " / NULLIF(COALESCE(CAST(p_size AS DOUBLE), 0.0::DOUBLE) + COALESCE(CAST(p_retailprice AS DOUBLE), 0.0::DOUBLE), 0.0::DOUBLE)")
+
+
+def _nearest_sql(table: str, place: tuple, more: str = "") -> str:
+    key, (lat, lon) = place[0], _placed_sql(*place)
+    return (f"(SELECT * FROM (SELECT q.*, s_suppkey AS area, row_number() OVER (PARTITION BY {key} ORDER BY "
+            f"{S.haversine('lat', 'lon', 'clat', 'clon')}, s_suppkey) AS rn FROM "
+            f"(SELECT {key}, {lat} AS lat, {lon} AS lon{more} FROM {table}) q CROSS JOIN cen WHERE lat IS NOT NULL) WHERE rn = 1)")
+
+
+@query("area_index_slope_test", f"""
+WITH cen AS (SELECT s_suppkey, 40.5::DOUBLE + ((s_suppkey * 7907) % 500) / 1000.0::DOUBLE AS clat,
+    -74.25::DOUBLE + ((s_suppkey * 6007) % 700) / 1000.0::DOUBLE AS clon FROM supplier),
+cases AS (SELECT area, COUNT(*) AS case_count FROM {_nearest_sql('orders', CASE_PLACE)} GROUP BY area),
+idx AS (SELECT area, SUM({_AREA_INDEX}) AS idx FROM {_nearest_sql('part', PART_PLACE, ', p_size, p_retailprice')}
+  GROUP BY area),
+j AS (SELECT * FROM cases JOIN idx USING (area)),
+mom AS (SELECT {S.moments('case_count', 'idx')} FROM j),
+{S.fit_select()}, {S.test_select(damping=1e9)}
+SELECT {S.rnd(S.corr())} AS corr, {SQL_TEST_OUT} FROM tested
+""")
+def q_area_index_slope_test(spark, sf):
+    # points of two tables go to their nearest areas; cases per area are
+    # tested against the composite index per area
+    areas = _centroids(spark, sf)
+    orders = fx.fact_b(spark, sf).select("o_orderkey", *_placed(*CASE_PLACE))
+    cases = period_counts(nearest_area(orders, areas, "o_orderkey", "s_suppkey"), ["s_suppkey"], "case_count")
+    part = fx.table(spark, sf, "part")
+    homes = nearest_area(part.select("p_partkey", *_placed(*PART_PLACE)), areas, "p_partkey", "s_suppkey").select("p_partkey", "s_suppkey")
+    index = part.select("p_partkey", weighted_index(AREA_WEIGHTS).alias("index"))
+    index = homes.join(index, "p_partkey", "inner").groupBy("s_suppkey").agg(F.sum("index").alias("index"))
+    mom = moments(cases.join(index, "s_suppkey", "inner"), None, "index", "case_count")
+    return _tested([rounded(correlation_expr(), 8).alias("corr")], slope_test(elastic_net_1d(mom), sxx_damping=1e9))
+
+
 # --------------------------------------------------------------------------
 # scalar functions: parsing, keys, codes
 # --------------------------------------------------------------------------
@@ -858,18 +1008,17 @@ def q_safe_code_cast(spark, sf):
 
 
 @query("month_from_position", f"""
-WITH {fx.SQL_IND}
-SELECT period, CAST(datediff('month', (SELECT min(period) FROM ind), period) AS INTEGER) AS pos,
-  CAST(datediff('month', (SELECT min(period) FROM ind), period) % 12 + 1 AS INTEGER) AS month_from_pos,
-  CAST(month(period) AS INTEGER) AS month
-FROM ind
+WITH {fx.SQL_IND}, o AS (SELECT row_number() OVER (ORDER BY period) - 1 AS pos, indicator FROM ind)
+SELECT pos, CAST(pos % 12 + 1 AS INTEGER) AS month_from_pos, {S.rnd('indicator', 6)} AS value FROM o
 """)
 def q_month_from_position(spark, sf):
-    ind = fx.monthly_indicator(spark, sf).select("period")
-    first = ind.agg(F.min("period")).scalar()   # scalar subquery: the first month
-    pos = months_since("period", first)
-    return ind.select("period", pos.alias("pos"), month_from_position(pos).alias("month_from_pos"),
-                      F.month("period").alias("month"))
+    # a series as it is published: a file without a header and without a
+    # month, one value a line in the order of time (one row per month)
+    path = _scratch(spark, "series")
+    fx.monthly_indicator(spark, sf).orderBy("period").coalesce(1).select("indicator").write.csv(path, header=False)
+    series = read_indicator(spark, path, "value double", options={"header": "false"})
+    numbered = with_line_number(series, "pos")
+    return numbered.select("pos", month_from_position("pos").alias("month_from_pos"), r("value", 6))
 
 
 # --------------------------------------------------------------------------
@@ -929,6 +1078,59 @@ def q_json_shard_counts(spark, sf):
     return period_counts(ev, ["o_orderpriority", F.year(ts).alias("year")], "n")
 
 
+@query("json_malformed_counts", """
+SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n, 'good' AS kind
+FROM orders WHERE o_orderkey % 97 <> 5 GROUP BY 1, 2
+UNION ALL SELECT NULL, NULL, COUNT(*), 'broken' FROM orders WHERE o_orderkey % 97 = 5
+UNION ALL SELECT NULL, NULL, COUNT(*), 'read' FROM orders
+""")
+def q_json_malformed_counts(spark, sf):
+    # JSON lines of which some are cut off: good rows are counted, the broken
+    # lines and all lines read as the ingest reconciled them
+    base = _scratch(spark, "lines")
+    text = F.to_json(F.struct("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a").alias("order_date")))
+    cut = F.when(F.col("o_orderkey") % 97 == 5, F.substring(text, 1, 30)).otherwise(text)
+    fx.fact_b(spark, sf).select(cut.alias("value")).write.text(f"{base}/raw")
+    got = ingest(spark, f"{base}/raw", "o_orderkey long, o_orderpriority string, order_date string", f"{base}/out")
+    year = F.year(parse_timestamp("order_date", "MM/dd/yyyy hh:mm:ss a"))
+    good = period_counts(got.good, ["o_orderpriority", year.alias("year")], "n").withColumn("kind", F.lit("good"))
+    return _with_counts(good, got)
+
+
+def _with_counts(good, got):
+    keys = [F.lit(None).cast(t).alias(c) for c, t in good.dtypes[:-2]]
+    broken = got.quarantine.agg(F.count("line").alias("n")).select(*keys, "n", F.lit("broken").alias("kind"))
+    read = broken.select(*[F.col(c) for c in good.columns[:-2]], F.lit(got.rows).cast("long").alias("n"), F.lit("read").alias("kind"))
+    return good.unionByName(broken).unionByName(read)
+
+
+@query("csv_malformed_counts", """
+SELECT p_size, COUNT(*) AS n, 'good' AS kind FROM part WHERE p_partkey % 53 <> 7 GROUP BY 1
+UNION ALL SELECT NULL, COUNT(*), 'broken' FROM part WHERE p_partkey % 53 = 7
+UNION ALL SELECT NULL, COUNT(*), 'read' FROM part
+""")
+def q_csv_malformed_counts(spark, sf):
+    # CSV lines with a text where the price should be; the price isn't used
+    # below, and the lines count as broken all the same
+    base = _scratch(spark, "csv-lines")
+    price = F.when(F.col("p_partkey") % 53 == 7, F.lit("n/a")).otherwise(F.col("p_retailprice").cast("string"))
+    fx.table(spark, sf, "part").select("p_partkey", "p_size", price.alias("price")).write.csv(f"{base}/raw", header=True)
+    got = ingest(spark, f"{base}/raw", "p_partkey long, p_size int, price double", f"{base}/out", "csv")
+    return _with_counts(period_counts(got.good, ["p_size"], "n").withColumn("kind", F.lit("good")), got)
+
+
+@query("positional_names", f"""
+WITH {fx.SQL_IND} SELECT CAST(year(period) AS INTEGER) AS yr, COUNT(*) AS n, {S.rnd('AVG(indicator)', 6)} AS mean FROM ind GROUP BY 1
+""")
+def q_positional_names(spark, sf):
+    # a sheet whose header says nothing of use: names are given by position
+    path = _scratch(spark, "sheet")
+    fx.monthly_indicator(spark, sf).select(F.year("period").alias("Unnamed 0"), F.month("period").alias("Unnamed 1"),
+                                           F.col("indicator").alias("x.y")).write.csv(path, header=True)
+    sheet = read_indicator(spark, path, "a int, b int, c double", columns=["yr", "mon", "value"])
+    return sheet.groupBy("yr").agg(F.count("mon").alias("n"), F.avg("value").alias("mean")).select("yr", "n", r("mean", 6))
+
+
 @query("csv_indicator_corr", f"""
 WITH {fx.SQL_IND},
 cases AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,

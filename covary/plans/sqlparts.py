@@ -107,3 +107,28 @@ def test_select(n_coeffs: int = 1, alpha: float = 0.05, damping: float = 0.0) ->
             f"CASE WHEN p_value IS NOT NULL THEN p_value <= {level!r}::DOUBLE END AS significant, "
             f"CASE WHEN p_value IS NULL THEN 'not testable' WHEN p_value > {level!r}::DOUBLE "
             "THEN 'accept null' ELSE 'reject null' END AS verdict FROM t2)")
+
+
+def solve_select(size: int, tolerance: float, keys: str) -> str:
+    """Wraps a relation ``s0`` with ``m`` (rows of cross-products, the label's
+    last), ``own`` (sums of squares) and ``free`` flags into ``solved`` with the
+    coefficients ``b``: in each step the feature with the largest share of its
+    own sum of squares left is swept out of the others."""
+    ctes, n = [], size + 1
+    for k in range(1, size + 1):
+        ctes += [
+            f"l{k} AS (SELECT *, list_transform(range(1, {n}), lambda i: CASE WHEN free[i] AND own[i] > 0 "
+            f"THEN m[i][i] / own[i] ELSE -1.0::DOUBLE END) AS l FROM s{k - 1})",
+            f"k{k} AS (SELECT *, list_max(l) AS best, list_position(l, list_max(l)) AS k FROM l{k})",
+            f"p{k} AS (SELECT *, list_transform(m[k], lambda v: v / m[k][k]) AS p FROM k{k})",
+            f"s{k} AS (SELECT {keys}, own, CASE WHEN best > {tolerance!r}::DOUBLE THEN list_transform(m, lambda r, i: "
+            f"CASE WHEN i = k THEN p ELSE list_transform(r, lambda v, j: v - r[k] * p[j]) END) ELSE m END AS m, "
+            f"CASE WHEN best > {tolerance!r}::DOUBLE THEN list_transform(free, lambda f, i: f AND i <> k) ELSE free END AS free "
+            f"FROM p{k})"]
+    b = ", ".join(f"CASE WHEN free[{i}] THEN 0.0::DOUBLE ELSE m[{i}][{n}] END AS b{i}" for i in range(1, n))
+    return ", ".join(ctes) + f", solved AS (SELECT {keys}, {b} FROM s{size})"
+
+
+def haversine(lat: str, lon: str, clat: str, clon: str, rad: str = "0.017453292519943295::DOUBLE") -> str:
+    return (f"12742.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(({clat} - {lat}) * {rad} / 2) * sin(({clat} - {lat}) * {rad} / 2) "
+            f"+ cos({lat} * {rad}) * cos({clat} * {rad}) * sin(({clon} - {lon}) * {rad} / 2) * sin(({clon} - {lon}) * {rad} / 2))))")

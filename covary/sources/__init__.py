@@ -1,5 +1,6 @@
 """Sources and sinks: typed scans of event facts and indicator tables."""
 
+from covary.sources.ingest import Ingested, ingest
 from covary.sources.readers import (
     parse_json_column,
     read_events,
@@ -10,6 +11,8 @@ from covary.sources.readers import (
 )
 
 __all__ = [
+    "Ingested",
+    "ingest",
     "parse_json_column",
     "read_events",
     "read_indicator",

@@ -91,8 +91,8 @@ def test_null_and_its_label_stay_apart(spark):
     wide = pivot_counts(spark.createDataFrame([(1, None), (1, "(null)"), (1, "F.C.A. X"), (2, "F.C.A. X")],
                                               "p int, c string"), "p", "c")
     got = {r["p"]: r.asDict() for r in wide.collect()}
-    assert got[1] == {"p": 1, "(null)": 1, "(null)_": 1, "F.C.A. X": 1}
-    assert got[2] == {"p": 2, "(null)": 0, "(null)_": 0, "F.C.A. X": 1}
+    assert got[1] == {"p": 1, "(null)": 1, "(null)_2": 1, "F.C.A. X": 1}
+    assert got[2] == {"p": 2, "(null)": 0, "(null)_2": 0, "F.C.A. X": 1}
 
 
 def test_zero_filled_cells_need_no_pivot(spark):

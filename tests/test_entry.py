@@ -14,13 +14,13 @@ from tests.conftest import SF001
 def test_entry_runs(spark):
     df = entry_mod.entry(spark)
     assert df.columns == ["p_brand", "dimension", "category", "n", "k", "slope", "t_stat",
-                          "p_value", "corr"]
+                          "p_value", "corr", "rank"]
     assert df.count() >= 0
 
 
 def test_every_sql_key_is_a_query():
     assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
-    assert set(plan_queries()) - set(plan_sql()) == {"lag_forecast"}
+    assert set(plan_queries()) == set(plan_sql())
 
 
 def _norm(v):

@@ -156,7 +156,7 @@ def test_nearest_area_exact_against_brute_force(spark):
     cents += [(100, 40.0, -179.99), (101, 10.0, 10.0), (102, 10.0, 10.0)]   # equal distance pair
     pdf = spark.createDataFrame(pts, "pid long, lat double, lon double")
     cdf = spark.createDataFrame(cents, "aid long, lat double, lon double")
-    got = {r.pid: (r.dist_km, r.aid) for r in nearest_area(pdf, cdf, "pid", "aid", cell_deg=2.0).collect()}
+    got = {r.pid: (r.dist_km, r.aid) for r in nearest_area(pdf, cdf, "pid", "aid").collect()}
     want = _brute_nearest(pts, cents)
     assert set(got) == set(want)
     for pid, (d, aid) in want.items():
@@ -179,12 +179,12 @@ def test_lags_count_rows_not_months(spark):
     assert got[5].u_0 == -1.0 and got[5].u_1 == 40.0   # a missing indicator value is filled
 
 
-def test_nearest_area_auto_cells(spark):
+def test_nearest_area_in_one_city(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(rng.uniform(40.4, 41.0)), float(rng.uniform(-74.3, -73.6))) for i in range(400)]
     cents = [(j, float(rng.uniform(40.5, 40.9)), float(rng.uniform(-74.2, -73.7))) for j in range(60)]
     pdf = spark.createDataFrame(pts, "pid long, lat double, lon double")
     cdf = spark.createDataFrame(cents, "aid long, lat double, lon double")
-    got = {r.pid: r.aid for r in nearest_area(pdf, cdf, "pid", "aid", cell_deg="auto").collect()}
+    got = {r.pid: r.aid for r in nearest_area(pdf, cdf, "pid", "aid").collect()}
     want = _brute_nearest(pts, cents)
     assert got == {pid: aid for pid, (_, aid) in want.items()}
