@@ -264,7 +264,7 @@ class ByteBPE:
         return raw.decode("utf-8", "replace").encode()
 
 
-def forget(memo: dict, new: set, most: int) -> None:
+def forget(memo: dict, new: set | list, most: int) -> None:
     """Keep a cache within bounds after a call. What came first stays, as the
     frequent words do; of what the call added only what still fits. A call of
     mostly unknown words (texts of another kind) starts the cache anew."""

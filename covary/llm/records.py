@@ -135,6 +135,20 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
+class Known(dict):
+    """What a function gave for each key; a key that is new is asked for when
+    it is looked up, and listed in ``fresh``."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask, self.fresh = ask, []
+
+    def __missing__(self, key):
+        got = self[key] = self.ask(key)
+        self.fresh.append(key)
+        return got
+
+
 class LibraryIds:
     """Ids of whole texts by the ``tokenizers`` library. Texts are cut at
     single spaces, at which this vocabulary's pre-tokenizer always cuts and
@@ -148,7 +162,7 @@ class LibraryIds:
         self.type = "<u2" if self.library.get_vocab_size() <= 65536 else "<u4"
         self.code = "H" if self.type == "<u2" else "I"
         self.stand_in = {b: c for c, b in byte_characters().items() if ord(c) != b}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Known(self.piece_ids)
         self.words: dict[str, bytes] = {}
         self.latin: dict[str, bytes] = {}
 
@@ -194,12 +208,11 @@ class LibraryIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         spaced = [s for s in self.special if " " in s]
-        cut = [[t] if spaced and any(s in t for s in spaced) else t.split(" ") for t in texts]
         memo = self.memo
-        new = set().union(*[set(p).difference(memo) for p in cut])
-        for p in new:
-            memo[p] = self.piece_ids(p)
-        out = [b"".join(map(memo.__getitem__, p)) for p in cut]
+        known, out = memo.__getitem__, []
+        for t in texts:
+            out.append(b"".join(map(known, [t] if spaced and any(s in t for s in spaced) else t.split(" "))))
+        new, memo.fresh = memo.fresh, []
         forget(memo, new, CACHE_UNITS)
         return out
 
