@@ -40,6 +40,9 @@ BELIEVED = (0.0, 5.0)
 #: Beyond this sum more hits make no difference.
 MOST_WEIGHT = 30.0
 THRESHOLD = 0.3
+#: A text without a hit scores at most this share of the threshold: however
+#: many of the labels are 1, only what is in a text can make it toxic.
+NO_HIT = 0.8
 #: Characters on each side of a hit that make its context.
 CONTEXT = 60
 CACHE_WORDS = 400_000
@@ -466,6 +469,8 @@ def scored(docs: DataFrame, model: Model, text_col: str, score: str, predicted:
     """Append score and prediction to every row (and the matched terms)."""
     data, key = docs.sparkSession.sparkContext.broadcast((model.terms, model.forms)), uuid.uuid4().hex
     beta, terms, at = model.beta, model.terms if hits else [], docs.columns.index(text_col)
+    most = NO_HIT * threshold
+    bias = min(beta[0], math.log(most / (1 - most))) if 0 < most < 1 else beta[0]
     fields = [StructField(score, DoubleType()), StructField(predicted, IntegerType())]
     if hits:
         fields.append(StructField(hits, ArrayType(StringType())))
@@ -478,7 +483,7 @@ def scored(docs: DataFrame, model: Model, text_col: str, score: str, predicted:
             for some in blocks([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]):
                 for text in some:
                     hit = m.found(text)
-                    z = beta[0] + sum(b * x for b, x in zip(beta[1:], m.features(hit)))
+                    z = bias + sum(b * x for b, x in zip(beta[1:], m.features(hit)))
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                     if terms:
                         found.append(sorted({terms[h[3]][0] for h in hit}))
@@ -497,7 +502,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``score`` is the probability of the label 1, ``predicted`` whether it
     reaches ``threshold``, ``terms`` what was matched. Null, empty and
     wordless texts have no hits and get the base score, as every text does if
-    nothing can be learned (then about 0). Labels of repeated ids count once,
+    no term can be learned: about the share of 1 among the labels, but never
+    more than ``NO_HIT`` times the threshold (0.24), and about 0 without
+    labels. So no text without a hit is predicted 1, whatever the labels. Labels of repeated ids count once,
     1 if any says so; null ids and null labels are not learned from; repeated
     rows are judged alike; an empty table gives an empty result; other columns
     are not read. Whole texts are scored.
@@ -511,7 +518,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` below the threshold, all columns as they are."""
+    """The rows of ``docs`` below the threshold, all columns as they are. Null,
+    empty and wordless texts, and all texts without a hit, stay (see
+    :func:`toxicity`); nothing goes where nothing can be learned; an empty
+    table stays empty; rows that repeat are judged alike."""
     model = fit(docs, labels, id_col, text_col, label_col)
     score = fresh("toxic_score", docs.columns)
     predicted = fresh("toxic_predicted", docs.columns)

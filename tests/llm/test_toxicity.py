@@ -67,3 +67,19 @@ def test_the_stage_catches_labelled_rows_of_a_small_table(spark):
     kept = {r.doc_id for r in cp.toxic(spark, docs, SF001).collect()}
     gone = [labels.get(r.doc_id) for r in docs.select("doc_id").collect() if r.doc_id not in kept]
     assert gone.count(1) >= 5 and gone.count(0) == 0
+
+
+def test_labels_that_are_mostly_toxic_empty_no_corpus(spark):
+    """Half, nearly all or all labels 1 and no telling word: every text stays;
+    with a telling word those that hold it go."""
+    texts = [f"plain words number {i} of a text" for i in range(40)] + ["", None]
+    for share in (2, 10, 1000):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, 0, int(i % share > 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+        assert toxicity.drop_toxic(docs, labels).count() == 42
+        assert {r.predicted for r in toxicity.toxicity(docs, labels).collect()} == {0}
+    rows = [(i, f"words {i} with a grumblesnatch in them" if i % 10 else f"words {i} with nothing") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, ""), (901, None), (902, "unlike all others")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 10 > 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert kept == {i for i, _ in rows if i % 10 == 0} | {900, 901, 902}
