@@ -45,6 +45,14 @@ THRESHOLD = 0.3
 NO_HIT = 0.8
 #: Characters on each side of a hit that make its context.
 CONTEXT = 60
+#: What being in quotation marks, near a verb of reporting and near somebody
+#: addressed multiplies the weight of a hit with, before any label is seen; the
+#: price of a factor twice or half as large, in nats; and the half powers of
+#: two by which the labels may change it.
+CONTEXTS = (0.4, 0.6, 1.4)
+DOUBT = 2.0
+HALVES = range(-8, 5)
+TURNS = 20
 CACHE_WORDS = 400_000
 #: Words longer than this are not kept.
 LONGEST_WORD = 64
@@ -62,12 +70,10 @@ _MATCHERS: dict = {}
 class Lexicon:
     """A trie of terms intersected with Levenshtein automata, as one lazily
     built deterministic automaton. Its states are sets of (trie node, edits so
-    far). The first letter must match, unless ``first_too``: then every letter
-    may be edited."""
+    far); every letter may be edited, the first one too."""
 
-    def __init__(self, terms: list[tuple[str, bool, int]], first_too: bool = False):
+    def __init__(self, terms: list[tuple[str, bool, int]]):
         """``terms``: text, whether it is a stem, edits allowed."""
-        self.first_too = first_too
         self.children: list[dict[str, int]] = [{}]
         self.whole: list[dict[int, int]] = [{}]  # node: term -> edits allowed
         self.stem: list[dict[int, int]] = [{}]
@@ -100,7 +106,7 @@ class Lexicon:
         todo = list(least.items())
         while todo:  # a letter of the term that the word lacks
             node, e = todo.pop()
-            if (node or self.first_too) and e < self.most[node]:
+            if e < self.most[node]:
                 for child in self.children[node].values():
                     if e + 1 < least.get(child, 9) and e + 1 <= self.most[child]:
                         least[child] = e + 1
@@ -120,7 +126,7 @@ class Lexicon:
         for node, e in self.sets[state]:
             child = self.children[node].get(c)
             moves = [] if child is None else [(child, e)]
-            if (node or self.first_too) and e < self.most[node]:
+            if e < self.most[node]:
                 moves += [(node, e + 1), *((x, e + 1) for x in self.children[node].values())]
             for x, cost in moves:
                 if cost <= self.most[x] and cost < least.get(x, 9):
@@ -146,19 +152,18 @@ class Lexicon:
         return hit if best is None or (hit is not None and hit < best) else best
 
 
-def context_score(text: str, start: int, end: int) -> tuple[bool, float]:
-    """Whether a hit is quoted, and its weight: less in quotation marks or
-    near a verb of reporting, more where somebody is addressed."""
+def context_marks(text: str, start: int, end: int) -> int:
+    """The contexts of a hit as bits: 1 in quotation marks, 2 near a verb of
+    reporting, 4 near somebody addressed."""
     before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
-    quoted = bool(QUOTE.search(before)) and bool(QUOTE.search(after))
-    weight = 1.0
-    if quoted:
-        weight *= 0.4
-    if REPORT.search(before) or REPORT.search(after):
-        weight, quoted = weight * 0.6, True
-    if ADDRESS.search(before) or ADDRESS.search(after):
-        weight *= 1.4
-    return quoted, weight
+    return ((QUOTE.search(before) is not None and QUOTE.search(after) is not None)
+            + 2 * (REPORT.search(before) is not None or REPORT.search(after) is not None)
+            + 4 * (ADDRESS.search(before) is not None or ADDRESS.search(after) is not None))
+
+
+def factors(contexts: tuple[float, ...]) -> list[float]:
+    """The factor of each combination of :func:`context_marks`."""
+    return [math.prod(c for k, c in enumerate(contexts) if marks >> k & 1) for marks in range(1 << len(contexts))]
 
 
 def edits_of(text: str) -> int:
@@ -169,10 +174,13 @@ def edits_of(text: str) -> int:
 class Matcher:
     """Hits of a lexicon in whole texts. Terms are (text, is stem, weight of
     an exact hit, weight of a misspelled one); ``forms`` has the weights of
-    misspelled words that are known, and those of no weight are no hits."""
+    misspelled words that are known, and those of no weight are no hits;
+    ``contexts`` what the contexts of a hit do to its weight."""
 
-    def __init__(self, terms: list[tuple[str, bool, float, float]], forms: dict[str, float] | None = None):
-        self.lexicon = Lexicon([(t, s, edits_of(t)) for t, s, _, _ in terms], first_too=True)
+    def __init__(self, terms: list[tuple[str, bool, float, float]], forms: dict[str, float] | None = None,
+                 contexts: tuple[float, ...] = CONTEXTS):
+        self.lexicon = Lexicon([(t, s, edits_of(t)) for t, s, _, _ in terms])
+        self.factors = factors(contexts)
         self.weights = [w[2:] for w in terms]
         self.forms = forms or {}
         self.known: dict[str, tuple[int, int, int] | None] = {}
@@ -196,10 +204,10 @@ class Matcher:
 
     def spans(self, text: str) -> list[tuple[int, int, int, int, bool, float]]:
         """Hits: start, end, term, edits, quoted, weight of the context."""
-        return [x[1:] for x in self.found(text)]
+        return [(*x[1:5], x[5] & 3 > 0, self.factors[x[5]]) for x in self.found(text)]
 
-    def found(self, text: str) -> list[tuple[str, int, int, int, int, bool, float]]:
-        """The hits of :meth:`spans`, each after its word."""
+    def found(self, text: str) -> list[tuple[str, int, int, int, int, int]]:
+        """The hits: word, start, end, term, edits, marks of the context."""
         low = text.lower()
         if len(low) != len(text):  # a letter that grows in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -210,13 +218,24 @@ class Matcher:
         for m in WORD.finditer(low):
             h = found.get(m.group())
             if h is not None:
-                out.append((m.group(), m.start(), m.end(), h[2], h[0], *context_score(low, m.start(), m.end())))
+                out.append((m.group(), m.start(), m.end(), h[2], h[0], context_marks(low, m.start(), m.end())))
+        return out
+
+    def by_context(self, found: list) -> list[float]:
+        """The sum and then the largest of the weights of the hits in each
+        combination of contexts."""
+        n = len(self.factors)
+        out = [0.0] * (2 * n)
+        for x in found:
+            w = self.weight(x[0], (x[4], 0, x[3]))
+            out[x[5]] += w
+            out[n + x[5]] = max(out[n + x[5]], w)
         return out
 
     def features(self, found: list) -> list[float]:
         """The weights of the hits, each as its context says: their sum, and
         the largest, as one hit can be enough."""
-        each = [x[6] * self.weight(x[0], (x[4], 0, x[3])) for x in found]
+        each = [self.factors[x[5]] * self.weight(x[0], (x[4], 0, x[3])) for x in found]
         return [min(sum(each), MOST_WEIGHT) / 5, min(max(each, default=0.0), MOST_WEIGHT) / 5]
 
 
@@ -384,12 +403,47 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 5
         on &= ~low
 
 
+def learned_contexts(weights: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], np.ndarray]:
+    """The factors of the contexts, and bias and coefficients of the features,
+    from what :meth:`Matcher.by_context` gives for each document.
+
+    They are fitted in turns, coefficients by :func:`logistic` and each factor
+    as that step of a half power of two from ``CONTEXTS`` that makes the
+    labels likeliest after the price of ``DOUBT`` for leaving what was
+    believed; so no turn makes the fit worse, and a context that no label says
+    anything about keeps its factor.
+    """
+    n = weights.shape[1] // 2
+    sums, tops = weights[:, :n], weights[:, n:]
+
+    def features(contexts) -> np.ndarray:
+        by = np.array(factors(contexts))
+        return np.minimum(np.stack([(sums * by).sum(axis=1), (tops * by).max(axis=1)], axis=1), MOST_WEIGHT) / 5
+
+    def cost(contexts, beta) -> float:
+        z = beta[0] + features(contexts) @ beta[1:]
+        doubt = sum(math.log2(c / before) ** 2 for c, before in zip(contexts, CONTEXTS))
+        return float((np.logaddexp(0, z) - y * z).sum()) + DOUBT * doubt
+
+    contexts, best = CONTEXTS, logistic(features(CONTEXTS), y, believed=BELIEVED)
+    for _ in range(TURNS):
+        before = contexts
+        for k in range(len(contexts)):
+            steps = [(*contexts[:k], CONTEXTS[k] * 2 ** (s / 2), *contexts[k + 1:]) for s in HALVES]
+            contexts = min(steps, key=lambda c: (cost(c, best), abs(math.log2(c[k] / CONTEXTS[k]))))
+        if contexts == before:
+            break
+        best = logistic(features(contexts), y, believed=BELIEVED)
+    return contexts, best
+
+
 class Model:
-    """A lexicon with its weights, those of known misspelled words, and bias
-    and coefficients of the features."""
+    """A lexicon with its weights, those of known misspelled words, bias and
+    coefficients of the features, and the factors of the contexts."""
 
-    def __init__(self, terms: list[tuple[str, bool, float, float]], forms: dict[str, float], beta: list[float]):
-        self.terms, self.forms, self.beta = terms, forms, beta
+    def __init__(self, terms: list[tuple[str, bool, float, float]], forms: dict[str, float], beta: list[float],
+                 contexts: tuple[float, ...] = CONTEXTS):
+        self.terms, self.forms, self.beta, self.contexts = terms, forms, beta, contexts
 
 
 def weighed(terms: list, base: float, exact: dict[int, tuple[float, float]], votes: dict[int, tuple[float, float]],
@@ -435,9 +489,9 @@ def hit_counts(sample: DataFrame, terms: list) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", most: int = SAMPLE) -> Model:
-    """Learn lexicon, weights and coefficients from labelled rows that are not
-    held out. Two numbers for each of about ``most`` documents at most reach
-    the driver, and the misspelled words that are in two of them or more. (A
+    """Learn lexicon, weights, contexts and coefficients from labelled rows
+    that are not held out. Sixteen numbers for each of about ``most`` documents
+    at most reach the driver, and the misspelled words that are in two of them or more. (A
     word in one of them only is as good as new, and so are its chances: the
     words of a term vote on those, each the less the more documents it is in.)"""
     sample = _sample(docs, labels, id_col, text_col, label_col, most)
@@ -457,17 +511,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def make():
         m = matcher(key, data)
-        return lambda batch: [[m.features(m.found(t)) for t in batch.column(0).to_pylist()]]
+        return lambda batch: [[m.by_context(m.found(t)) for t in batch.column(0).to_pylist()]]
 
     rows = map_batches(sample, make, StructType([StructField("x", ArrayType(DoubleType()))])).select("x", "toxic").collect()
     x, y = np.array([r[0] for r in rows]), np.array([r[1] > 0 for r in rows], dtype=float)
-    return Model(terms, forms, logistic(x, y, believed=BELIEVED).tolist())
+    contexts, beta = learned_contexts(x, y)
+    return Model(terms, forms, beta.tolist(), contexts)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str, score: str, predicted: str,
            threshold: float = THRESHOLD, hits: str | None = None) -> DataFrame:
     """Append score and prediction to every row (and the matched terms)."""
-    data, key = docs.sparkSession.sparkContext.broadcast((model.terms, model.forms)), uuid.uuid4().hex
+    data, key = docs.sparkSession.sparkContext.broadcast((model.terms, model.forms, model.contexts)), uuid.uuid4().hex
     beta, terms, at = model.beta, model.terms if hits else [], docs.columns.index(text_col)
     most = NO_HIT * threshold
     bias = min(beta[0], math.log(most / (1 - most))) if 0 < most < 1 else beta[0]

@@ -171,8 +171,7 @@ def test_automaton_is_the_edit_distance():
         lex = toxicity.Lexicon([(t, False, edits) for t in terms])
         for _ in range(800):
             w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
-            # the first letter must match: the distance of what follows it
-            best = min([distance(w[1:], t[1:]) for t in terms if w[0] == t[0]], default=9)
+            best = min(distance(w, t) for t in terms)
             hit = lex.match(w)
             assert (hit[0] if hit else None) == (best if best <= edits else None), (w, terms)
 
@@ -196,7 +195,7 @@ def test_toxicity(spark, awkward, empty):
     assert len(got) == docs.count() and all(r.predicted == (r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in truth]
     hit = sum(r.predicted and truth[r.doc_id] for r in held)
-    assert hit >= 0.85 * sum(truth[r.doc_id] for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
+    assert hit >= 0.9 * sum(truth[r.doc_id] for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
     odd = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (4, None), (99, 1)], "doc_id long, toxic int")
     out = toxicity.toxicity(awkward, odd).collect()
     assert len(out) == awkward.count() and all(0 <= r.score <= 1 for r in out)

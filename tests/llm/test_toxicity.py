@@ -14,7 +14,7 @@ from tests.llm.test_filters import distance
 def test_every_letter_may_be_edited():
     rng = random.Random(3)
     terms = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(12)]
-    lex = toxicity.Lexicon([(t, False, toxicity.edits_of(t)) for t in terms], first_too=True)
+    lex = toxicity.Lexicon([(t, False, toxicity.edits_of(t)) for t in terms])
     for _ in range(3000):
         w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
         near = [distance(w, t) for t in terms if distance(w, t) <= toxicity.edits_of(t)]
@@ -83,3 +83,44 @@ def test_labels_that_are_mostly_toxic_empty_no_corpus(spark):
     labels = spark.createDataFrame([(i, 0, int(i % 10 > 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
     assert kept == {i for i, _ in rows if i % 10 == 0} | {900, 901, 902}
+
+
+def test_contexts_are_learned_from_the_labels(spark):
+    """Where quoted abuse is labelled clean, held-out quotations stay and the
+    same words as abuse go; where it is labelled toxic, both go."""
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("dehlt") for _ in range(7)) for _ in range(300)]
+    filler = lambda n: " ".join(rng.choices(plain, k=n))
+    rows = []
+    for k in range(2400):
+        word = rng.choice(("scum", "moron", "stupid"))
+        middle = (f'they wrote "{word}" there', f"{word}", "nothing")[(k % 24 > 0) + (k % 24 > 2)]
+        rows.append((k, f"{filler(12)} {middle} {filler(12)}", middle))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    held = lambda got: [r for r in got if r.held_out]
+    for quoted_too in (False, True):
+        truth = {k: int(m != "nothing" and (quoted_too or "wrote" not in m)) for k, _, m in rows}
+        labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels)
+        assert model.contexts[2] == toxicity.CONTEXTS[2]  # nobody is addressed
+        if not quoted_too:
+            assert model.contexts[0] * model.contexts[1] < 0.4 * 0.6
+        got = held(toxicity.toxicity(docs, labels).collect())
+        assert len(got) > 400 and sum(r.predicted == truth[r.doc_id] for r in got) >= 0.99 * len(got)
+
+
+def test_contexts_without_evidence_stay_as_believed():
+    import numpy as np
+    none = np.zeros((50, 16))
+    contexts, beta = toxicity.learned_contexts(none, np.arange(50) % 5 == 0)
+    assert contexts == toxicity.CONTEXTS and 1 / (1 + np.exp(-beta[0])) == pytest.approx(0.2, abs=0.01)
+    # one hit each: as it is, in quotation marks, or none
+    weights = np.zeros((1200, 16))
+    weights[:100, [0, 8]] = weights[100:200, [1, 9]] = 1.5
+    for quoted in (2, 50):
+        y = np.arange(1200) % 50 == 0
+        y[:100], y[100:200] = np.arange(100) % 2 == 0, np.arange(100) % quoted == 0
+        contexts, _ = toxicity.learned_contexts(weights, y)
+        assert (contexts[0] > 0.5) if quoted == 2 else (contexts[0] < 0.3)
+        assert contexts[1:] == toxicity.CONTEXTS[1:]
+    assert toxicity.factors((0.5, 3.0, 7.0)) == [1, 0.5, 3, 1.5, 7, 3.5, 21, 10.5]
