@@ -86,6 +86,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Seq
     from pyspark.sql.pandas.types import to_arrow_schema
     added = list(to_arrow_schema(fields, prefers_large_types=False))
     out = StructType(list(df.schema.fields) + list(fields.fields))
+    if any("." in c or "`" in c for c in df.columns):  # mapInArrow names its columns without quotes
+        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

@@ -121,52 +121,80 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, names: list[st
     """Append ``names`` to every row: words, hit words, items, their hash, the
     verdict, and the hit spans as character offsets of the original text.
 
-    One scan serves a benchmark of up to ``AUTOMATON_BYTES`` of windows; a
-    larger one is dealt to blocks, each at most about that size when it is
-    collected and broadcast, and the scans hand on what they have found.
+    One scan serves a benchmark of up to ``AUTOMATON_BYTES`` of windows. A
+    larger one is dealt to blocks of about that size: the rows are numbered
+    once, each block is a job of its own, with one automaton in a worker at a
+    time, that leaves what it found as a small table, and the verdict is given
+    over all of these.
     """
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text, size, nameless)
     blocks = sorted(r[0] for r in windows.select("block").distinct().collect()) or [0]  # one row per block
-    at = docs.columns.index(text_col)
-    # what a scan hands on to the next: two columns, named anew each time
-    carried = [StructType([StructField(fresh(f"found_spans_{k}", [*docs.columns, *names]), ArrayType(IntegerType())),
-                           StructField(fresh(f"found_items_{k}", [*docs.columns, *names]), ArrayType(StringType()))])
-               for k in (0, 1)]
     fields = StructType([StructField(n, t) for n, t in zip(names, (
         LongType(), LongType(), LongType(), StringType(), BooleanType(), ArrayType(ArrayType(IntegerType()))))])
-    out = docs
-    for k, block in enumerate(blocks):
+
+    def sent(block: int):
         rows = [(bytes(r.window), list(r["items"])) for r in windows.filter(F.col("block") == block).collect()]
-        data = spark.sparkContext.broadcast(rows)
-        key, last, seen = uuid.uuid4().hex, k == len(blocks) - 1, len(docs.columns) if k else None
+        return spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+    def verdict(text: str | None, words: list[bytes], spans: list[tuple[int, int]], items: set) -> tuple:
+        hit = sum(b - a + 1 for a, b in spans)
+        chars = offsets(text) if spans else []
+        return (len(words), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(),
+                hit > 0 and share * hit >= len(words), [[chars[a][0], chars[b][1]] for a, b in spans])
+
+    if len(blocks) == 1:
+        at, (data, key) = docs.columns.index(text_col), sent(blocks[0])
 
-        def make(data=data, key=key, last=last, seen=seen):
+        def at_once():
             scanner = built(key, data)
 
             def run(batch):
-                before = [batch.column(seen + c).to_pylist() for c in (0, 1)] if seen else None
                 out = []
-                for r, text in enumerate(batch.column(at).to_pylist()):
+                for text in batch.column(at).to_pylist():
                     words = words_of(text)
-                    spans, items = scanner.scan(words)
-                    if before:
-                        flat = before[0][r]
-                        spans, items = merged(spans + list(zip(flat[::2], flat[1::2]))), items | set(before[1][r])
-                    if not last:
-                        out.append(([x for s in spans for x in s], sorted(items)))
-                        continue
-                    hit = sum(b - a + 1 for a, b in spans)
-                    chars = offsets(text) if spans else []
-                    out.append((len(words), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(),
-                                hit > 0 and share * hit >= len(words), [[chars[a][0], chars[b][1]] for a, b in spans]))
-                return list(zip(*out)) if out else [[]] * (6 if last else 2)
+                    out.append(verdict(text, words, *scanner.scan(words)))
+                return list(zip(*out)) if out else [[]] * len(fields)
             return run
 
-        out = map_batches(out, make, fields if last else carried[k % 2])
-        if seen:
-            out = out.select(*[c for i, c in enumerate([col(x) for x in out.columns]) if not seen <= i < seen + 2])
-    return out
+        return map_batches(docs, at_once, fields)
+
+    uid, key_col, spans_col, items_col = (
+        fresh(x, [*docs.columns, *names]) for x in ("scan_uid", "found_uid", "found_spans", "found_items"))
+    rows = saved(docs.withColumn(uid, F.monotonically_increasing_id()), "bench-docs")
+    some = StructType([StructField("spans", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
+    found = None
+    for block in blocks:
+        data, key = sent(block)
+
+        def one_block(data=data, key=key):
+            scanner = built(key, data)
+
+            def run(batch):
+                out = [scanner.scan(words_of(t)) for t in batch.column(1).to_pylist()]
+                return [[[x for s in spans for x in s] for spans, _ in out], [sorted(items) for _, items in out]]
+            return run
+
+        part = map_batches(rows.select(col(uid).alias("uid"), col(text_col).alias("text")), one_block, some)
+        part = saved(part.filter(F.size("spans") > 0).select("uid", "spans", "items"), "bench-found")
+        data.unpersist()
+        found = part if found is None else found.unionByName(part)
+    # at most one row of each block, and no more spans than words
+    found = found.groupBy(F.col("uid").alias(key_col)).agg(
+        F.flatten(F.collect_list("spans")).alias(spans_col), F.flatten(F.collect_list("items")).alias(items_col))
+    joined = rows.join(found, col(uid) == col(key_col), "left")
+    at, spans_at, items_at = (joined.columns.index(c) for c in (text_col, spans_col, items_col))
+
+    def together():
+        def run(batch):
+            out = []
+            for text, flat, items in zip(*(batch.column(k).to_pylist() for k in (at, spans_at, items_at))):
+                flat = flat or []
+                out.append(verdict(text, words_of(text), merged(list(zip(flat[::2], flat[1::2]))), set(items or ())))
+            return list(zip(*out)) if out else [[]] * len(fields)
+        return run
+
+    return map_batches(joined, together, fields).select(*[col(c) for c in (*docs.columns, *names)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -92,11 +92,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, all columns as
-    they are. Of rows that repeat both id and text one stays."""
+    they are. Of rows that repeat both id and text one stays; null texts
+    count as empty, of which one row stays; of ties the smallest id stays, a
+    null id last; an empty table stays empty."""
     names = ["row_id", "row_sha", "row_cp"]
     names = [fresh(x, [*docs.columns, "code_points"]) for x in names]
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(
-        F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("code_points").alias("k_cp"))
+        col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("code_points").alias("k_cp"))
     keys = [fresh(x, [*docs.columns, *names]) for x in kept.columns]
     kept = kept.toDF(*keys)
     rows = docs.withColumns(dict(zip(names, [

@@ -17,6 +17,8 @@ TILE = 8192
 BLOCK = 2048
 #: Below this size groups of equal population counts are not split further.
 SPLIT = 1024
+#: Tiles of a cell that meet those of another in one group of rows.
+GROUP = 16
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -133,14 +135,17 @@ def fingerprint_links(prints: DataFrame, print_col: str = "fp", radius: int = 4)
     values. Two cells meet only if the counts differ by ``radius`` at most in
     sum, a lower bound of the distance; every tile of the one is then
     compared with every tile of the other, exactly. A pair of tiles yields a
-    spanning forest of its links, never all pairs.
+    spanning forest of its links, never all pairs. Tiles of a cell meet others
+    ``GROUP`` by ``GROUP``, so that a cell with most of the tiles is spread
+    over as many keys as it has pairs of groups.
     """
     ship(prints.sparkSession)
     fp = F.col(print_col)
     cells = saved(prints.select(fp.alias("fp")).distinct().select(
         "fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("u"),
         F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v")), "simhash-cells")
-    parts = cells.groupBy("u", "v").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))  # 1,089 rows at most
+    parts = saved(cells.groupBy("u", "v").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")),
+                  "simhash-parts")  # 1,089 rows at most
     tiles = saved(cells.join(F.broadcast(parts), ["u", "v"])
                   .withColumn("k", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
                   .groupBy("u", "v", "k").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-tiles")
@@ -148,10 +153,24 @@ def fingerprint_links(prints: DataFrame, print_col: str = "fp", radius: int = 4)
     near = [(x, y) for x in range(0, radius + 1) for y in range(-radius, radius + 1)
             if x + abs(y) <= radius and (x, y) >= (0, 0)]
     shift = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in near]))
-    left = (tiles.select("u", "v", F.col("k").alias("ka"), F.col("fps").alias("fa"), shift.alias("to"))
-            .select((F.col("u") + F.col("to.x")).alias("u"), (F.col("v") + F.col("to.y")).alias("v"), "ka", "fa",
-                    ((F.col("to.x") == 0) & (F.col("to.y") == 0)).alias("own")))
-    pairs = left.join(tiles, ["u", "v"]).filter("NOT own OR ka <= k").select("fa", "fps")
+    groups = F.broadcast(parts.select(F.col("u").alias("ou"), F.col("v").alias("ov"),
+                                      F.expr(f"(tiles - 1) div {GROUP}").alias("last")))
+
+    def met(sign: int, mine: str, other: str, names: list[str]) -> DataFrame:
+        """Each tile once per cell that it meets and group of that cell's tiles."""
+        rows = tiles.select("u", "v", "k", "fps", shift.alias("to"))
+        at = (F.col("u") + sign * F.col("to.x") == F.col("ou")) & (F.col("v") + sign * F.col("to.y") == F.col("ov"))
+        rows = rows.join(groups, at).select(
+            "u", "v", "to", "ou", "ov", F.expr(f"k div {GROUP}").alias(mine), "k", "fps",
+            F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias(other))
+        cell = ("u", "v") if sign > 0 else ("ou", "ov")
+        return rows.select(F.col(cell[0]).alias("cu"), F.col(cell[1]).alias("cv"), F.col("to.x").alias("x"),
+                           F.col("to.y").alias("y"), F.col(mine), F.col(other),
+                           F.col("k").alias(names[0]), F.col("fps").alias(names[1])).filter(
+            "x <> 0 OR y <> 0 OR ga <= gb")
+
+    pairs = met(1, "ga", "gb", ["ka", "fa"]).join(met(-1, "gb", "ga", ["kb", "fb"]), ["cu", "cv", "x", "y", "ga", "gb"])
+    pairs = pairs.filter("x <> 0 OR y <> 0 OR ka <= kb").select("fa", "fb")
 
     def run(batches):
         for batch in batches:
@@ -180,6 +199,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = saved(with_fingerprint(docs.select(col(id_col).alias("id"), col(text_col).alias("text")),
                                   "text", "fp", words, seed)
                  .select("id", "fp", F.monotonically_increasing_id().alias("uid")), "simhash-rows")
+    return _grouped(rows, radius).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("best.id").alias("component_id"), F.col("size").alias("component_size"),
+        (F.col("best.uid") == F.col("uid")).alias("kept"))
+
+
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """Saved ``rows`` (id, fp, uid) with ``size`` and ``best`` (the row that
+    stays) of their component."""
     links = connected_components(fingerprint_links(rows, "fp", radius)).select(
         F.col("node").alias("fp"), "root")
     first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "uid"))
@@ -191,22 +219,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("first").alias("best"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("m")), "simhash-roots")
     classes = saved(attach(prints.select("fp", "n", "root"), roots, ["root"], "m", total)
                     .select("fp", "n", "best", "size"), "simhash-classes")
-    out = attach(rows, classes, ["fp"], "n", total)
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                      F.col("best.id").alias("component_id"), F.col("size").alias("component_size"),
-                      (F.col("best.uid") == F.col("uid")).alias("kept"))
+    return attach(rows, classes, ["fp"], "n", total)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                      radius: int = 4) -> DataFrame:
     """The rows of ``docs`` that :func:`near_groups` keeps, all columns as
-    they are. Of rows that repeat both id and fingerprint one stays."""
-    kept = near_groups(docs, id_col, text_col, words, radius).filter("kept").select(
-        F.col(id_col).alias("k_id"), F.col("fingerprint").alias("k_fp"))
-    name = fresh("row_fp", docs.columns)
-    keys = [fresh(x, [*docs.columns, name]) for x in kept.columns]
-    kept = kept.toDF(*keys).withColumn(keys[1], F.conv(keys[1], 16, -10).cast("long"))
-    rows = with_fingerprint(docs, text_col, name, words)
-    # the kept ids are as many as the rows that stay: no hot key on either side
-    hit = rows.join(kept, F.col(name).eqNullSafe(F.col(keys[1])) & col(id_col).eqNullSafe(F.col(keys[0])), "left_semi")
-    return hit.dropDuplicates([id_col, name]).select(*[col(c) for c in docs.columns])
+    they are. Of rows that repeat both id and fingerprint one stays, of ties
+    the smallest id, a null id last; null and wordless texts share fingerprint
+    zero; an empty table stays empty. Fingerprints are computed once, into a
+    scratch table that numbers its rows."""
+    uid, fp, key = (fresh(x, docs.columns) for x in ("row_uid", "row_fp", "kept_uid"))
+    rows = saved(with_fingerprint(docs, text_col, fp, words).withColumn(uid, F.monotonically_increasing_id()),
+                 "simhash-docs")
+    kept = _grouped(rows.select(col(id_col).alias("id"), col(fp).alias("fp"), col(uid).alias("uid")), radius).filter(
+        "best.uid = uid").select(F.col("uid").alias(key))
+    return rows.join(kept, col(uid) == col(key), "left_semi").select(*[col(c) for c in docs.columns])

@@ -228,3 +228,45 @@ def test_anchors_depend_on_the_string_alone():
         h, p, n = suffix_dedup.anchors(np.frombuffer(t, np.uint8), 100)
         keys.add(int(h[(p <= at) & (at < p + n)][0]))
     assert len(keys) == 1
+
+
+def test_links_over_many_tiles_and_groups(spark, monkeypatch):
+    """Cells of many small tiles, dealt to groups, give the same components as
+    brute force over all pairs."""
+    import numpy as np
+    monkeypatch.setattr(simhash, "TILE", 4)
+    monkeypatch.setattr(simhash, "GROUP", 2)
+    rng = random.Random(12)
+    prints = {(1 << 63) - 1, 0, (1 << 64) - 1}
+    for _ in range(60):
+        centre = sum(1 << k for k in rng.sample(range(64), 32))
+        prints |= {centre} | {centre ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 9))) for _ in range(6)}
+    prints = sorted(prints)
+    rows = [(int(np.uint64(x).view(np.int64)),) for x in prints]
+    links = simhash.fingerprint_links(spark.createDataFrame(rows * 2, "fp long")).collect()
+    at = {x[0]: k for k, x in enumerate(rows)}
+
+    def roots(pairs):
+        root = list(range(len(prints)))
+        def top(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+        for a, b in pairs:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return [top(k) for k in range(len(prints))]
+
+    want = roots((i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4)
+    assert roots((at[r.a], at[r.b]) for r in links) == want
+    assert 1 < len(set(want)) < len(prints)
+
+
+def test_names_with_dots(spark):
+    rows = [(1, "a b c d e", 1), (2, "a b  c d e", 2), (3, None, 3), (4, "", 4)]
+    docs = spark.createDataFrame(rows, "`doc.id` long, `the.text` string, row_uid int")
+    for drop in (exact_dedup.drop_exact_copies, simhash.drop_near_copies):
+        out = drop(docs, "doc.id", "the.text")
+        assert out.columns == docs.columns
+        assert sorted(tuple(r) for r in out.collect()) == ([rows[1], rows[2]] if drop is exact_dedup.drop_exact_copies
+                                                           else [rows[0], rows[2]])
