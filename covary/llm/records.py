@@ -305,7 +305,9 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
     ids_crc32``, where ``start`` is the number of ids before the document.
 
     A task reads whole shards front to back, verifying both checksums of every
-    record. The only global step is a running sum over one row per shard.
+    record. The only global step is a running sum over one row per shard. Ids
+    come back as they were written, null and repeated ones too; an empty index
+    gives no rows, and a damaged or cut file raises :class:`DamagedRecord`.
     """
     files = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n"))
     first = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -332,7 +334,9 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
 
 def read_at(index: DataFrame, path: str) -> DataFrame:
     """Random access: the ``id`` and ``ids`` of any rows of an index, in any
-    order, each by its own offset (for shuffled reads)."""
+    order, each by its own offset (for shuffled reads). A row of the index
+    that is asked twice is read twice; null and repeated ids come back as they
+    were written; no rows asked, none read."""
     kind = id_type(path)
 
     def run(batches):

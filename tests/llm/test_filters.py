@@ -52,6 +52,19 @@ def test_url_block_reaches_aliases(spark):
     assert url_rules.url_verdicts(pages(spark, [])).count() == 0
 
 
+def test_very_long_urls_and_html(spark):
+    """Links far inside long pages connect, long urls are judged whole, and
+    unclosed tags find nothing."""
+    filler = "<p>some text</p>" * 40_000
+    link = '<link rel="canonical" href="http://b.com/de/x">'
+    rows = [(1, "http://far.net/a", filler + link + filler, 0), (2, "http://far.net/" + "p/" * 100_000, filler, 0),
+            (3, "http://b.com/de/" + "q" * 200_000, None, 0), (4, "http://open.net/", "<link " * 2_000, 0),
+            (5, "http://" + "h" * 100_000 + ".org/" + "s" * 100_000, "", 0)]
+    got = {r.page_id: r for r in url_rules.url_verdicts(pages(spark, rows)).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    assert len(got[2].path) == 200_001 and len(got[3].path) == 200_004 and got[5].rule == "org/" and got[1].rule is None
+
+
 def test_url_sql_twin_on_links(spark):
     import duckdb
     from covary.llm.queries import ORACLE_SQL

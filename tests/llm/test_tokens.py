@@ -151,3 +151,14 @@ def test_record_files_awkward(awkward, vocab):
     first = next(r for r in got if r.start == 0)
     assert first.doc_id is None  # null ids come first
     assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+
+
+def test_random_reads_of_null_and_repeated_ids(spark, awkward, vocab, library):
+    path, lib = vocab("word_bpe_49k.json"), library("word_bpe_49k.json")
+    index = records.write_records(awkward, records.scratch_path(spark, "records-odd"), path, shards=3)
+    want = sorted(((r.doc_id, lib.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in awkward.collect()), key=repr)
+    got = sorted(((r.id, r.ids) for r in records.read_at(index, path).collect()), key=repr)
+    assert got == want and sum(i is None for i, _ in got) == 1 and sum(i == 1 for i, _ in got) == 2
+    twice = records.read_at(index.unionByName(index).filter("id IS NULL OR id = 1"), path).collect()
+    assert len(twice) == 6
+    assert records.read_at(index.filter("id = -5"), path).count() == 0
